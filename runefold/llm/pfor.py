@@ -18,11 +18,14 @@ texts hold the end id alone. An empty table gives an empty table. Other columns
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,12 @@ from .common import new_path, string_buffer
 MAGIC = b"RFP1"
 BLOCK = 128
 PERCENTILE = 0.9
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 18
 #: Text bytes that are tokenized together.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 6 << 20
+#: Words whose ids a task keeps from one block to the next, and lines that the library encodes at a time.
+KNOWN_WORDS = 300_000
+LINES = 32
 _HEAD = struct.Struct("<4sIIIQ")
 
 SEGMENTS = "shard int, segment int, n_docs long, n_tokens long, data binary"
@@ -47,7 +53,10 @@ DOCUMENTS = "shard int, doc_id long, place long, n_tokens long, ids_crc32 long"
 
 def _bits(x: np.ndarray) -> np.ndarray:
     """Bit length of each unsigned value."""
-    return np.where(x > 0, np.floor(np.log2(np.maximum(x, 1).astype(np.float64))).astype(np.int64) + 1, 0)
+    return np.where(x > 0, np.floor(np.log2(np.maximum(x, 1).astype(np.float64))).astype(np.uint8) + np.uint8(1), np.uint8(0))
+
+
+_BITS16 = _bits(np.arange(1 << 16, dtype=np.uint64))
 
 
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, bytes]:
@@ -62,9 +71,11 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, b
     grid = grid.reshape(count, BLOCK)
     low = grid.min(1)
     grid = grid - low[:, None]
-    need = np.sort(_bits(grid), axis=1)
-    width = need[:, int(np.ceil(percentile * BLOCK)) - 1]
-    patched = grid >> width.astype(np.uint64)[:, None] > 0
+    need = _BITS16[grid] if grid.max() < 1 << 16 else _bits(grid)
+    # how many offsets of a block fit in each width; the width is the least that the percentile fits in
+    fit = np.bincount((np.arange(count)[:, None] * 33 + need).ravel(), minlength=33 * count).reshape(count, 33).cumsum(1)
+    width = (fit < np.ceil(percentile * BLOCK)).sum(1)
+    patched = need > width[:, None]
     exceptions = patched.sum(1)
     sizes = 6 + 16 * width + 5 * exceptions
     starts = np.cumsum(sizes) - sizes
@@ -171,6 +182,7 @@ class WordTokenizer:
     """
 
     def __init__(self, content: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(content)
@@ -183,14 +195,22 @@ class WordTokenizer:
         for token, i in self.library.get_vocab(True).items():
             ends[i] = token.endswith("</w>")
         self.ends = ends
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots = _Slots()
+        self.ids, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.int64) for x in self.library.encode_batch(texts, add_special_tokens=False)]
+        out: list[np.ndarray] = []
+        for i in range(0, len(texts), LINES):
+            out += [np.array(x.ids, np.int32) for x in self.library.encode_batch_fast(texts[i : i + LINES], add_special_tokens=False)]
+        return out
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lines = [" ".join(words[i : i + 512]) for i in range(0, len(words), 512)]
         parts = self.plain(lines)
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         closing = np.flatnonzero(self.ends[ids])
         lens = np.diff(np.append(-1, closing))
         if len(lens) != len(words) or int(lens.sum()) != len(ids):
@@ -198,7 +218,9 @@ class WordTokenizer:
         return ids, lens
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
-        slots, uses, plain = _Slots(), [], []
+        if len(self.slots) > KNOWN_WORDS:
+            self.forget()
+        slots, known, uses, plain = self.slots, len(self.slots), [], []
         for k, text in enumerate(texts):
             try:
                 text.encode("latin-1")
@@ -209,14 +231,20 @@ class WordTokenizer:
             except ValueError:  # UnicodeEncodeError is one
                 plain.append(k)
                 uses.append(None)
-        ids, lens = self.encode_words(list(slots))
-        starts = np.cumsum(lens) - lens
-        out = [None if u is None else gather(u, ids, lens, starts) for u in uses]
+        ids, lens = self.encode_words(list(islice(slots, known, None)))
+        self.ids, self.lens = np.concatenate([self.ids, ids]), np.concatenate([self.lens, lens])
+        starts = np.cumsum(self.lens) - self.lens
+        out = [None if u is None else gather(u, self.ids, self.lens, starts) for u in uses]
         for k, made in zip(plain, self.plain([texts[k] for k in plain])):
             out[k] = made
         return out
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(content: str) -> WordTokenizer:
+    return WordTokenizer(content)
+
+
 def write(df: DataFrame, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> str:
     """Write the token ids of every text, each followed by ``end_id``, in ascending id order; returns the path."""
     spark = df.sparkSession
@@ -227,7 +255,7 @@ def write(df: DataFrame, vocabulary: str, end_id: int, doc_id: str = "doc_id", t
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(content.value)
+        tokenizer = _tokenizer(content.value)
         shard, segment, before = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, np.ndarray]] = []
         size = 0
