@@ -3,10 +3,12 @@
 Each document's distinct word shingles are hashed once and dealt into ``BINS`` bins; the least hash of each bin is the
 signature (one-permutation hashing). An empty bin borrows from the first filled bin in its own random order of bins
 (optimal densification). Bands of ``ROWS`` bins make bucket keys; documents with equal shingle sets count as one.
-Within a bucket candidates are stars: each member is paired with a centre, not with every other member. A pair is
-linked only if the full sets pass the threshold. Members that are still in other groups than their bucket's other
-members get further centres, round by round, until each bucket is one group or every remaining pair in it has been
-tested; so no link is lost to the star shape, and a bucket of copies costs one pair a member.
+Within a bucket candidates are stars: each member is paired with the centre, not with every other member. A pair is
+linked only if the full sets pass the threshold. Members that end in different groups could still be linked past their
+centre. In a small family all such pairs are tested. In a large one they must share shingles that the family's
+middle (what half of its members have) lacks, so these shingles deal the members into smaller families with centres of
+their own (``narrowed``), until each family is small or one group. So no link is lost to the star shape, while a
+bucket costs one pair a member.
 
 Defined results: a text without words (or null) has no shingles and is linked with nothing; fewer words than the
 shingle width make one shingle of all of them. A null id is linked with nothing and its component is null. Rows that
@@ -20,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +33,8 @@ BINS = 256
 ROWS = 5
 BANDS = BINS // ROWS
 BLOCK_BYTES = 4 << 20
-#: Centres a bucket gets in each round.
-CENTRES = (1, 8, 32, 128)
+#: Members up to which a family's groups are compared directly; members that a family's middle is made of.
+SMALL, WITNESSES = 4, 15
 
 _U = np.uint64
 _P, _INVERSE = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -184,26 +187,97 @@ def hashed_sets(df: DataFrame, width: int, text: str, keep: list[str]) -> DataFr
     return map_text(df, [T.StructField("shingles", T.BinaryType(), False)], make, text, keep)
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows with the sets of their documents ``c`` and ``x``."""
+    left = sets.select(F.col("doc").alias("c"), F.col("shingles").alias("__c"))
+    right = sets.select(F.col("doc").alias("x"), F.col("shingles").alias("__x"))
+    return rows.join(left, "c").join(right, "x")
+
+
+def consensus(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """family, __c: the hashes that half of (at most ``WITNESSES``) members of each family have."""
+    order = Window.partitionBy("family").orderBy(F.desc("weight"), "x")
+    some = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= WITNESSES).select("family", F.col("x").alias("doc"))
+    held = some.join(sets, "doc").groupBy("family").agg(F.collect_list("shingles").alias("held"))  # WITNESSES sets at most
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for held in batch.column(1):
+                values, counts = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), _U) for x in held.values]), return_counts=True)
+                out.append(values[2 * counts >= len(held.values)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["family", "__c"])
+
+    return held.mapInArrow(run, "family long, __c binary")
+
+
+def _common(a: pa.Scalar, b: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both sets, and which of the second one's hashes the first one has."""
+    s, t = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
+    at = np.searchsorted(s, t)
+    at[at == len(s)] = 0
+    return s, t, s[at] == t
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("__a"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("__b"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "__a", "__b")
+    """The pairs (c, x) whose full sets have 100 * intersection >= percent * union, as (a, b)."""
+    rows = _with_sets(pairs, sets).select("c", "x", "__c", "__x")
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                small, large = (s, t) if len(s) <= len(t) else (t, s)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+            for c, x in zip(batch.column(2), batch.column(3)):
+                s, t, both = _common(c, x)
+                i = int(both.sum())
+                keep.append(100 * i >= percent * (len(s) + len(t) - i))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def narrowed(rows: DataFrame, percent: int) -> DataFrame:
+    """Smaller families for members x (sets ``__x``) of families with any middle set ``__c``: (family, x, missing, middle).
+
+    Take x and y of one family, with i(x) hashes in common with the middle. Linked, they have at least
+    need = share * (n(x) + n(y)) in common, of which at most i(x) are the middle's. So they share need - i(x) of the
+    hashes that the middle lacks, and hence one of the first (as many as there are, less that need, plus 1) in the
+    order of all hashes: each such hash makes a new family of the members that have it. Two that do without must both
+    be near the middle, and lack together at most middle - need of its hashes: either they lack one in common, and
+    each lacked hash makes a new family too; or what both lack adds up to no more than that, and they are linked for certain.
+    For these one more family holds the near members, with what they lack (``missing``, null elsewhere) and
+    the middle's size. ``lo`` is the size of the family's smallest member.
+    """
+    share = percent / (100 + percent)
+    rows = rows.select("family", "x", "lo", "__c", "__x")
+
+    def run(batches):
+        for batch in batches:
+            families, members, lacks, sizes = [], [], [], []
+            for family, x, lo, c, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                s, t, both = _common(c, own)
+                other = max(lo, int(np.ceil(len(t) * percent / 100)))
+                need = int(np.ceil(share * (len(t) + other) - 1e-9)) - int(both.sum())
+                rest = t[~both]
+                marks = [rest[: max(0, len(rest) - max(need, 1) + 1)]]
+                lack = -1
+                if need <= 0:
+                    missed = np.setdiff1d(s, t, assume_unique=True)
+                    lack = len(missed)
+                    marks += [~missed, np.zeros(1, _U)]
+                marks = np.concatenate(marks)
+                with np.errstate(over="ignore"):
+                    made = mix(mix(marks) + np.array([family], np.int64).view(_U) * _P)
+                families.append(made.view(np.int64))
+                members.append(np.full(len(made), x, np.int64))
+                lacks.append(np.where(np.arange(len(made)) == len(made) - (lack >= 0), lack, -1))
+                sizes.append(np.full(len(made), len(s), np.int64))
+            for a in range(0, len(families), 256):
+                parts = [pa.array(np.concatenate(v[a : a + 256])) for v in (families, members, lacks, sizes)]
+                parts[2] = pc.if_else(pc.less(parts[2], 0), None, parts[2])
+                yield pa.RecordBatch.from_arrays(parts, names=["family", "x", "missing", "middle"])
+
+    return rows.mapInArrow(run, "family long, x long, missing long, middle long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -245,36 +319,44 @@ def groups(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text",
     wanted = weight.select("doc")
     sets = stored(hashed_sets(docs.join(wanted, "doc", "left_semi"), width, "text", ["doc"]), "sets")
 
-    fits = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent
-    centre = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc")).alias("less"), "n")).alias("c"))
-    first = members.join(centre.select("key", (-F.col("c.less")).alias("c"), F.col("c.weight").alias("cw"), F.col("c.n").alias("cn")), "key")
-    # round 0: each member and the heaviest centre that it meets
-    first = first.where((F.col("doc") != F.col("c")) & fits).groupBy("doc").agg(F.max(F.struct("cw", (-F.col("c")).alias("less"))).alias("c"))
-    pairs = first.select(F.least("doc", -F.col("c.less")).alias("a"), F.greatest("doc", -F.col("c.less")).alias("b")).distinct()
-    checked = stored(pairs, "pairs")
-    links = stored(linked(checked, sets, percent), "links")
-    comps = connected(links)
-    done = None
-    for step in range(1 << 30):
-        open_ = members if done is None else members.join(done, ["key", "doc"], "left_anti")
-        open_ = open_.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        split = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        open_ = stored(open_.join(split, "key", "left_semi").select("key", "doc", "n", "weight", "comp"), "open")
+    sizes = members.select("doc", "n", "weight").distinct()
+    centre = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc")).alias("less"))).alias("c"))
+    stars = members.join(centre, "key").select((-F.col("c.less")).alias("c"), F.col("doc").alias("x")).where("c <> x").distinct()
+    # a family is a centre and the members of the buckets that it is the centre of
+    families = stored(stars.select(F.col("c").alias("family"), "c", "x", F.lit(None).cast("long").alias("missing"), F.lit(None).cast("long").alias("middle")), "families")
+    comps = connected(linked(families.select("c", "x").distinct(), sets, percent))
+    while True:
+        named = families.join(comps.withColumnRenamed("doc", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+        named = named.join(sizes.withColumnRenamed("doc", "x"), "x")
+        apart = named.groupBy("family").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"), F.min("n").alias("lo"), F.count(F.lit(1)).alias("many"))
+        open_ = named.join(apart.where("__a < __b").select("family", "lo", "many"), "family")
+        open_ = stored(open_.select("family", "x", "missing", "middle", "comp", "n", "weight", "lo", "many"), "open")
         if open_.isEmpty():
             break
-        order = Window.partitionBy("key").orderBy(F.desc("weight"), "doc")
-        chosen = open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CENTRES[min(step, len(CENTRES) - 1)])
-        chosen = stored(chosen.select("key", F.col("doc").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc")), "centres")
-        met = open_.join(chosen, "key").where((F.col("comp") != F.col("cc")) & fits)
-        pairs = met.select(F.least("doc", "c").alias("a"), F.greatest("doc", "c").alias("b")).distinct()
-        pairs = stored(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        checked = checked.union(pairs)
-        used = chosen.select("key", F.col("c").alias("doc"))
-        done = used if done is None else done.union(used)
-        new = stored(linked(pairs, sets, percent), "links")
-        if not new.isEmpty():
-            links = links.union(new)
-            comps = connected(links)
+        # small families: all that is not in the main group meets the rest; so do members that are near a middle,
+        # where what both lack leaves them linked
+        last = open_.where((F.col("many") <= SMALL) | F.col("missing").isNotNull())
+        main = last.groupBy("family", "comp").count().groupBy("family").agg(F.max(F.struct("count", "comp")).alias("m"))
+        odd = last.join(main, "family").where("comp <> m.comp")
+        odd = odd.select("family", F.col("x").alias("y"), F.col("comp").alias("ycomp"), F.col("n").alias("cn"), F.col("missing").alias("ymissing"))
+        fits = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent
+        certain = (F.col("middle") - F.col("missing") - F.col("ymissing")) * (100 + percent) >= (F.col("n") + F.col("cn")) * percent
+        near = F.col("missing").isNull() | (F.col("many") <= SMALL) | certain
+        pairs = last.join(odd, "family").where((F.col("comp") != F.col("ycomp")) & fits & near)
+        pairs = pairs.select(F.least("x", "y").alias("c"), F.greatest("x", "y").alias("x")).distinct()
+        # large ones: those of members that share a hash which the family's middle lacks
+        large = open_.where((F.col("many") > SMALL) & F.col("missing").isNull())
+        met = large.join(consensus(large, sets), "family").join(sets.select(F.col("doc").alias("x"), F.col("shingles").alias("__x")), "x")
+        narrow = stored(narrowed(met, percent), "narrow")
+        narrow = narrow.join(comps.withColumnRenamed("doc", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+        narrow = narrow.join(sizes.withColumnRenamed("doc", "x"), "x")
+        heads = narrow.groupBy("family").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"), F.max(F.struct((-F.coalesce("missing", F.lit(0))).alias("near"), "weight", (-F.col("x")).alias("less"))).alias("c"))
+        heads = heads.where("__a < __b").select("family", (-F.col("c.less")).alias("c"))
+        families = stored(narrow.join(heads, "family").where("c <> x").select("family", "c", "x", "missing", "middle"), "families")
+        new = stored(pairs.union(families.select("c", "x")).distinct(), "pairs")
+        links = stored(linked(new, sets, percent), "links")
+        if not links.isEmpty():
+            comps = connected(links.union(comps.select(F.col("comp").alias("a"), F.col("doc").alias("b"))))
     named = classes.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc").isNull(), None).otherwise(F.coalesce("component_id", "doc"))
