@@ -286,18 +286,17 @@ def connected(edges: DataFrame) -> DataFrame:
     Alternates large and small stars; each round is a few aggregations and joins and is written to the shared folder.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
     while True:
+        # done when each document has one edge down, to one that has none
+        ends = edges.select(F.col("u").alias("d"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("d").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down > 0 and up > 0").isEmpty():
+            break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = stored(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
     comps = edges.select(F.col("u").alias("doc"), F.col("v").alias("comp"))
     return comps.union(edges.select(F.col("v").alias("doc"), F.col("v").alias("comp")).distinct())
 
@@ -324,7 +323,10 @@ def groups(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text",
     stars = members.join(centre, "key").select((-F.col("c.less")).alias("c"), F.col("doc").alias("x")).where("c <> x").distinct()
     # a family is a centre and the members of the buckets that it is the centre of
     families = stored(stars.select(F.col("c").alias("family"), "c", "x", F.lit(None).cast("long").alias("missing"), F.lit(None).cast("long").alias("middle")), "families")
-    comps = connected(linked(families.select("c", "x").distinct(), sets, percent))
+    comps = connected(linked(families.select("c", "x"), sets, percent))
+    # families around centres of one group become one: a document is dealt with once, not once for each of its bands
+    heads = families.join(comps.select(F.col("doc").alias("c"), "comp"), "c", "left")
+    families = stored(heads.select(F.coalesce("comp", "c").alias("family"), "x", "missing", "middle").distinct(), "families")
     while True:
         named = families.join(comps.withColumnRenamed("doc", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
         named = named.join(sizes.withColumnRenamed("doc", "x"), "x")
