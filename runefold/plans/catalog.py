@@ -1,10 +1,231 @@
-"""The registered queries over the driver tables and their SQL."""
+"""The registered queries over the driver tables, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schema
+from ..operators import bloom, faults, fold, linearize, manifest, raft
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+OPLOG = """WITH oplog AS (
+  SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, 'u' || user_id AS k,
+    CASE WHEN event_type <> 'error' THEN 'v' || event_id END AS v, (event_id * 8 // (SELECT max(event_id) + 1 FROM events))::INTEGER AS run
+  FROM events),
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM oplog) WHERE rn = 1)
+"""
+RAFT = """WITH leader AS (SELECT o_orderkey + 1 AS idx, 1 + o_orderkey // 1000 AS term FROM orders), total AS (SELECT count(*) AS n FROM orders),
+followers AS (
+  SELECT node::INTEGER AS node, idx, CASE WHEN idx > n - node * 300 THEN term - 1 ELSE term END AS term
+  FROM leader, total, (SELECT unnest([1, 2, 3, 4]) AS node) WHERE idx <= n - node * 137),
+agreed AS (SELECT f.node, f.idx, f.term, l.term AS lead, f.term = l.term AS same FROM followers f LEFT JOIN leader l USING (idx)),
+ends AS (SELECT node, coalesce(min(CASE WHEN NOT same THEN idx END) - 1, max(idx)) AS match FROM agreed GROUP BY node)
+"""
+HISTORY = """WITH h AS (
+  SELECT event_id AS id, user_id % 40 AS k, 10 * event_id AS s, 10 * event_id + (7919 * event_id) % 50 AS e,
+    CASE WHEN event_id % 3 = 0 THEN 'put' WHEN event_id % 3 = 2 AND event_id % 2 = 0 THEN 'delete' ELSE 'get' END AS kind FROM events),
+w AS (SELECT * FROM h WHERE kind <> 'get'), wl AS (SELECT *, lag(id) OVER (PARTITION BY k ORDER BY id) AS prev FROM w),
+g AS (SELECT h.*, (SELECT CASE WHEN h.id % 97 < 5 THEN arg_max(wl.prev, wl.id) ELSE max(wl.id) END FROM wl WHERE wl.k = h.k AND wl.id < h.id) AS obs FROM h WHERE kind = 'get')
+"""
+FILES = """WITH f AS (SELECT o_orderkey AS number, (o_custkey % 4)::INTEGER AS level, lpad(o_custkey::VARCHAR, 8, '0') AS min_key,
+  lpad((o_custkey + o_orderkey % 50)::VARCHAR, 8, '0') AS max_key FROM orders WHERE o_orderkey <= 2000)
+"""
+
+
+def register(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def simple(name: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """A query over the op log."""
+    register(name, OPLOG + sql)(lambda spark, sf_dir: make(schema.oplog(spark, sf_dir)))
+
+
+KEYS = [f"u{i}" for i in range(0, 400, 7)]
+
+simple("kv_live_view", fold.live, "SELECT k, v FROM newest WHERE op = 'put'")
+simple("kv_live_count", lambda log: fold.live(log).agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM newest WHERE op = 'put'")
+simple("kv_point_get", lambda log: fold.get(log, "u7"), "SELECT 'u7' AS k, v IS NOT NULL AS found, v FROM (SELECT 1) LEFT JOIN (SELECT v FROM newest WHERE op = 'put' AND k = 'u7') ON true")
+simple("kv_point_get_deleted", lambda log: fold.get(log, "u8"), "SELECT 'u8' AS k, v IS NOT NULL AS found, v FROM (SELECT 1) LEFT JOIN (SELECT v FROM newest WHERE op = 'put' AND k = 'u8') ON true")
+simple(
+    "kv_multi_get",
+    lambda log: fold.multi_get(log, log.sparkSession.range(0, 400, 7).select(F.concat(F.lit("u"), F.col("id")).alias("k"))),
+    "SELECT a.k, CASE op WHEN 'put' THEN 'live' WHEN 'delete' THEN 'deleted' ELSE 'unknown' END AS state, v FROM (SELECT 'u' || i AS k FROM range(0, 400, 7) t(i)) a LEFT JOIN newest USING (k)",
+)
+simple("kv_as_of_version", lambda log: fold.as_of(log, F.col("run") <= 3), "SELECT k, arg_max(coalesce(v, ''), seq) AS v FROM oplog WHERE run <= 3 GROUP BY k HAVING arg_max(op, seq) = 'put'")
+simple("kv_tombstones", fold.tombstones, "SELECT k, seq FROM newest WHERE op = 'delete'")
+simple("kv_version_history", fold.versions, "SELECT k, seq, op, v, lag(v) OVER w AS before, lag(op) OVER w AS op_before FROM oplog WINDOW w AS (PARTITION BY k ORDER BY seq)")
+_RUNS = "FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM oplog WHERE run BETWEEN 2 AND 5) WHERE r = 1"
+simple("merge_carry", lambda log: fold.merge(log.where("run between 2 and 5"), False), f"SELECT k, seq, op, v {_RUNS}")
+simple("merge_bottom", lambda log: fold.merge(log.where("run between 2 and 5"), True), f"SELECT k, seq, op, v {_RUNS} AND op = 'put'")
+simple(
+    "run_metadata", fold.run_metadata,
+    "SELECT run, count(*) AS entries, min(k) AS min_key, max(k) AS max_key, max(seq) AS max_seq, sum((op = 'delete')::INT)::BIGINT AS tombstones, sum(length(k) + coalesce(length(v), 0))::BIGINT AS bytes FROM oplog GROUP BY run",
+)
+register("flush_generations")(lambda spark, sf_dir: fold.flush_generations(schema.oplog(spark, sf_dir), 4096))
+simple("fault_torn_prefix", lambda log: fold.live(faults.torn_prefix(log, 777)), "SELECT k, arg_max(coalesce(v, ''), seq) AS v FROM oplog WHERE seq < 777 GROUP BY k HAVING arg_max(op, seq) = 'put'")
+simple("trace_tail", lambda log: faults.tail(log.select("seq", "op", "k"), 50), "SELECT seq, op, k FROM oplog ORDER BY seq DESC LIMIT 50")
+
+_BLOOM = """, ks AS (SELECT DISTINCT run, k FROM oplog), m AS (SELECT run, count(*) * 10 AS m FROM ks GROUP BY run),
+pos AS (SELECT run, k, m, (('0x' || substr(md5(k), 1, 8))::BIGINT + i * ('0x' || substr(md5(k), 9, 8))::BIGINT) % m AS bit FROM ks JOIN m USING (run), range(7) t(i)),
+words AS (SELECT run, m, bit // 32 AS word, bit_or(1::BIGINT << (bit % 32)::INT) AS bits FROM pos GROUP BY run, m, word)
+"""
+simple("bloom_build", bloom.build, _BLOOM + "SELECT run, m, word, bits FROM words")
+_ASKED = """, asked AS (SELECT 'u' || i AS k FROM range(0, 400, 7) t(i)),
+ap AS (SELECT run, k, (('0x' || substr(md5(k), 1, 8))::BIGINT + i * ('0x' || substr(md5(k), 9, 8))::BIGINT) % m AS bit FROM asked, m, range(7) t(i)),
+hit AS (SELECT ap.run, ap.k, bool_and(coalesce(bits, 0) & (1::BIGINT << (bit % 32)::INT) <> 0) AS may_contain FROM ap LEFT JOIN words w ON w.run = ap.run AND w.word = bit // 32 GROUP BY ALL)
+"""
+
+
+def _probe(log: DataFrame) -> DataFrame:
+    return bloom.probe(bloom.build(log), log.sparkSession.range(0, 400, 7).select(F.concat(F.lit("u"), F.col("id")).alias("k")))
+
+
+simple("bloom_probe", _probe, _BLOOM + _ASKED + "SELECT run, k, may_contain FROM hit")
+simple(
+    "bloom_skip_report", lambda log: _probe(log).groupBy("k").agg(F.sum(F.col("may_contain").cast("int")).alias("runs_read"), F.sum((~F.col("may_contain")).cast("int")).alias("runs_skipped")),
+    _BLOOM + _ASKED + "SELECT k, sum(may_contain::INT)::BIGINT AS runs_read, sum((NOT may_contain)::INT)::BIGINT AS runs_skipped FROM hit GROUP BY k",
+)
+
+
+@register("manifest_live_set", "WITH e AS (SELECT o_orderkey // 10 AS edit_no, o_orderkey AS added, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey - 15 END AS deleted FROM orders) SELECT added AS number, edit_no FROM e a WHERE NOT EXISTS (SELECT 1 FROM e d WHERE d.deleted = a.added AND d.edit_no > a.edit_no)")
+def _live_set(spark, sf_dir):
+    return manifest.live_files(schema.edits(spark, sf_dir))
+
+
+@register("manifest_orphans", "SELECT o_orderkey AS number FROM orders WHERE o_orderkey + 15 IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) AND (o_orderkey + 15) // 10 > o_orderkey // 10")
+def _orphans(spark, sf_dir):
+    edits = schema.edits(spark, sf_dir)
+    return manifest.orphans(edits.select(F.col("added").alias("number")), manifest.live_files(edits).select("number"))
+
+
+register("compaction_overlap", FILES + "SELECT a.number AS upper, b.number AS lower, a.level FROM f a JOIN f b ON b.level = a.level + 1 AND a.min_key <= b.max_key AND b.min_key <= a.max_key")(
+    lambda spark, sf_dir: manifest.overlaps(schema.files(spark, sf_dir))
+)
+register("compaction_bottom_most", FILES + ", l AS (SELECT level, min(min_key) AS lo, max(max_key) AS hi FROM f GROUP BY level) SELECT number, level, NOT EXISTS (SELECT 1 FROM l WHERE l.level > f.level AND lo <= max_key AND hi >= min_key) AS bottom_most FROM f")(
+    lambda spark, sf_dir: manifest.bottom_most(schema.files(spark, sf_dir))
+)
+register("compaction_pick_leveled", FILES + "SELECT level, count(*) AS n FROM f GROUP BY level HAVING count(*) >= 4 * pow(10, level) ORDER BY level LIMIT 1")(
+    lambda spark, sf_dir: manifest.pick_leveled(schema.files(spark, sf_dir), 4)
+)
+register("compaction_pick_tiered", FILES + ", t AS (SELECT number, (number % 97 + 1)::BIGINT AS bytes, floor(ln(number % 97 + 1) / ln(2.0) + 0.0)::BIGINT AS tier FROM f) SELECT number, bytes, tier FROM (SELECT *, count(*) OVER (PARTITION BY tier) AS n FROM t) WHERE n >= 200")(
+    lambda spark, sf_dir: manifest.pick_tiered(schema.files(spark, sf_dir).select("number", F.expr("number % 97 + 1").alias("bytes")), 200)
+)
+register("sparse_index_seek", OPLOG + ", b AS (SELECT k AS first_key, (rn2 - 1) // 16 AS block FROM (SELECT k, row_number() OVER (ORDER BY k) AS rn2 FROM newest) WHERE (rn2 - 1) % 16 = 0) SELECT n.k, max(b.first_key) AS first_key FROM newest n JOIN b ON b.first_key <= n.k GROUP BY n.k")(
+    lambda spark, sf_dir: _seek(fold.newest(schema.oplog(spark, sf_dir)))
+)
+
+
+def _seek(run: DataFrame) -> DataFrame:
+    """Block of each key in a sorted run with every sixteenth key indexed: an as-of lookup by a running maximum.
+
+    A run is one file of bounded size, so it is ordered in one task.
+    """
+    from pyspark.sql import Window
+
+    w = Window.orderBy("k")
+    rows = run.select("k", F.row_number().over(w).alias("r"))
+    marked = rows.withColumn("mark", F.when((F.col("r") - 1) % 16 == 0, F.col("k")))
+    return marked.select("k", F.last("mark", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("first_key"))
+
+
+def _matches(spark, sf_dir):
+    o = schema.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return o.withColumn("node", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("match", F.expr("(o_custkey * node) % 97"))
+
+
+_MATCH = "WITH m AS (SELECT o_orderkey, node, (o_custkey * node) % 97 AS match FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS node)), c AS (SELECT o_orderkey, match AS commit FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY match DESC) AS r FROM m) WHERE r = 3)"
+register("raft_commit_index", _MATCH + " SELECT * FROM c")(lambda spark, sf_dir: raft.commit_index(_matches(spark, sf_dir), "o_orderkey", 3))
+register("raft_commit_guarded", _MATCH + " SELECT o_orderkey, CASE WHEN commit BETWEEN 1 AND 1000 AND commit <= (SELECT max(o_orderkey) + 1 FROM orders) THEN commit ELSE 0 END AS commit FROM c")(
+    lambda spark, sf_dir: raft.guarded_commit(_matches(spark, sf_dir), schema.leader_log(spark, sf_dir), "o_orderkey", 3, 1)
+)
+register("raft_first_conflict", RAFT + "SELECT node, min(idx) AS conflict FROM agreed WHERE NOT same GROUP BY node")(lambda spark, sf_dir: raft.first_conflict(schema.leader_log(spark, sf_dir), schema.follower_logs(spark, sf_dir)))
+register("raft_match_index", RAFT + "SELECT node, match FROM ends")(lambda spark, sf_dir: raft.match_index(schema.leader_log(spark, sf_dir), schema.follower_logs(spark, sf_dir)))
+register("raft_conflict_hint", RAFT + ", c AS (SELECT node, min(idx) AS i FROM agreed WHERE NOT same GROUP BY node), t AS (SELECT c.node, f.term FROM c JOIN followers f ON f.node = c.node AND f.idx = c.i) SELECT t.node, t.term AS conflict_term, min(f.idx) AS conflict_index FROM t JOIN followers f ON f.node = t.node AND f.term = t.term GROUP BY ALL")(
+    lambda spark, sf_dir: raft.conflict_hint(schema.leader_log(spark, sf_dir), schema.follower_logs(spark, sf_dir))
+)
+register("raft_merge_result", RAFT + "SELECT node, l.idx, l.term FROM ends, leader l")(lambda spark, sf_dir: raft.merged(schema.leader_log(spark, sf_dir), schema.follower_logs(spark, sf_dir)))
+register("raft_apply_committed", OPLOG + "SELECT k, arg_max(coalesce(v, ''), seq) AS v FROM oplog WHERE seq + 1 <= (SELECT count(*) * 3 // 4 FROM events) GROUP BY k HAVING arg_max(op, seq) = 'put'")(
+    lambda spark, sf_dir: _applied(spark, sf_dir)
+)
+
+
+def _applied(spark, sf_dir):
+    log = schema.oplog(spark, sf_dir)
+    commit = F.broadcast(log.agg(F.expr("count(1) * 3 div 4").alias("commit")))  # one row
+    return fold.live(log.crossJoin(commit).where("seq + 1 <= commit"))
+
+
+register("raft_batches", RAFT + "SELECT (idx - 1) // 64 AS batch, min(idx) AS first, max(idx) AS last, count(*) AS n FROM leader GROUP BY ALL")(lambda spark, sf_dir: raft.batches(schema.leader_log(spark, sf_dir), 64))
+
+
+def _ballots(spark, sf_dir):
+    return schema.table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 7").alias("term"), F.expr("o_custkey % 3").alias("candidate"), F.expr("o_orderkey % 7").alias("voter"))
+
+
+_BALLOTS = "WITH b AS (SELECT o_orderkey // 7 AS term, o_custkey % 3 AS candidate, o_orderkey % 7 AS voter FROM orders), t AS (SELECT term, candidate, count(DISTINCT voter) AS votes, count(DISTINCT voter) * 2 > 7 AS elected FROM b GROUP BY ALL)"
+register("raft_vote_tally", _BALLOTS + " SELECT * FROM t")(lambda spark, sf_dir: raft.votes(_ballots(spark, sf_dir), 7))
+register("raft_invariant_leader_per_term", _BALLOTS + " SELECT term, count(*) AS leaders FROM t WHERE elected GROUP BY term HAVING count(*) > 1")(
+    lambda spark, sf_dir: raft.two_leaders(raft.votes(_ballots(spark, sf_dir), 7).where("elected").select("term", F.col("candidate").alias("node")))
+)
+register("raft_invariant_log_matching", RAFT + ", merged AS (SELECT node, l.idx, l.term FROM ends, leader l), r AS (SELECT idx, term, sum(hash(idx * 1000003 + term)) OVER (PARTITION BY node ORDER BY idx) AS h FROM merged) SELECT idx, term, count(DISTINCT h) AS prefixes FROM r GROUP BY ALL HAVING count(DISTINCT h) > 1")(
+    lambda spark, sf_dir: raft.log_matching(raft.merged(schema.leader_log(spark, sf_dir), schema.follower_logs(spark, sf_dir)))
+)
+register("raft_proposal_outcome", RAFT + "SELECT l.idx, CASE WHEN f.idx IS NULL THEN 'pending' WHEN f.term = l.term THEN 'committed' ELSE 'superseded' END AS outcome FROM leader l LEFT JOIN followers f ON f.idx = l.idx AND f.node = 2")(
+    lambda spark, sf_dir: schema.leader_log(spark, sf_dir).join(schema.follower_logs(spark, sf_dir).where("node = 2").select("idx", F.col("term").alias("t")), "idx", "left")
+    .select("idx", F.expr("case when t is null then 'pending' when t = term then 'committed' else 'superseded' end").alias("outcome"))
+)
+
+
+def _history(spark, sf_dir):
+    """Writes, and gets with the write each observed: the last one before it, or for corrupted gets the one before that."""
+    from pyspark.sql import Window
+
+    h = schema.history(spark, sf_dir)
+    w = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    wid = F.when(F.col("kind") != "get", F.col("id"))
+    rows = h.withColumn("last", F.last(wid, True).over(w))
+    # a write's predecessor, carried forward to the gets that follow the write
+    prev = F.last(F.when(F.col("kind") != "get", F.struct(F.col("last").alias("p"))), True).over(w)
+    rows = rows.withColumn("obs", F.when(F.col("id") % 97 < 5, prev["p"]).otherwise(F.col("last")))
+    return h.where("kind <> 'get'"), rows.where("kind = 'get'").select("id", "k", "s", "e", "obs")
+
+
+register("lin_stale_reads", HISTORY + "SELECT DISTINCT g.k, g.id FROM g JOIN w p ON p.k = g.k AND p.id = g.obs AND p.kind = 'put' JOIN w n ON n.k = g.k AND p.e < n.s AND n.e < g.s")(lambda spark, sf_dir: linearize.stale_reads(*_history(spark, sf_dir)))
+register("lin_future_reads", HISTORY + "SELECT DISTINCT g.k, g.id FROM g JOIN w p ON p.k = g.k AND p.id = g.obs AND p.kind = 'put' WHERE g.e < p.s")(lambda spark, sf_dir: linearize.future_reads(*_history(spark, sf_dir)))
+register("lin_unwritten_reads", HISTORY + "SELECT g.k, g.id FROM g WHERE obs IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w WHERE w.k = g.k AND w.id = g.obs AND w.kind = 'put')")(lambda spark, sf_dir: linearize.unwritten_reads(*_history(spark, sf_dir)))
+register("lin_history_stats", HISTORY + "SELECT k, count(*) AS operations, sum((kind = 'put')::INT)::BIGINT AS puts, max(e - s) AS longest FROM h GROUP BY k")(
+    lambda spark, sf_dir: schema.history(spark, sf_dir).groupBy("k").agg(F.count(F.lit(1)).alias("operations"), F.sum((F.col("kind") == "put").cast("int")).alias("puts"), F.max(F.expr("e - s")).alias("longest"))
+)
+
+
+@register("lin_check", "SELECT (user_id % 40)::VARCHAR AS key, true AS ok, count(*) AS operations FROM events GROUP BY ALL")
+def _lin_check(spark, sf_dir):
+    """The full search on the history in which each operation takes effect at its start."""
+    from pyspark.sql import Window
+
+    h = schema.history(spark, sf_dir)
+    w = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("kind") != "get", F.struct("kind", "id")), True).over(w)
+    rows = h.withColumn("last", last).withColumn("found", F.coalesce(F.col("last.kind") == "put", F.lit(False)))
+    return linearize.check(rows.select(
+        F.col("k").cast("string").alias("key"), F.col("id").alias("op_id"), "kind", F.lit(True).alias("ok"), F.col("s").alias("start_ns"), F.col("e").alias("end_ns"),
+        F.when(F.col("kind") == "put", F.col("id").cast("string")).alias("arg"), "found", F.when(F.col("found"), F.col("last.id").cast("string")).alias("data"),
+    ))
+
+
+@register("test_matrix", "WITH e AS (SELECT 's' || conv_id % 5 AS suite, 't' || conv_id AS test, CASE turn % 4 WHEN 0 THEN 'run' WHEN 1 THEN 'pass' WHEN 2 THEN 'skip' ELSE 'fail' END AS action FROM conversations) SELECT suite, test, CASE max(CASE action WHEN 'fail' THEN 3 WHEN 'skip' THEN 2 WHEN 'pass' THEN 1 ELSE 0 END) WHEN 3 THEN 'fail' WHEN 2 THEN 'skip' WHEN 1 THEN 'pass' ELSE 'missing' END AS status, count(*) AS events FROM e GROUP BY ALL")
+def _test_matrix(spark, sf_dir):
+    c = schema.table(spark, sf_dir, "conversations")
+    return faults.test_matrix(c.select(F.expr("concat('s', conv_id % 5)").alias("suite"), F.expr("concat('t', conv_id)").alias("test"), F.expr("element_at(array('run', 'pass', 'skip', 'fail'), int(turn % 4) + 1)").alias("action")))
