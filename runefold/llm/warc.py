@@ -2,8 +2,7 @@
 
 A record is a run of rows (record_id, chunk_no, data, payload_sha256): row 0 holds its WARC header, each further row at most
 ``CHUNK`` payload bytes and the digest of the payload up to and with that chunk, carried on from chunk to chunk. Readers
-get the rows in record and chunk order and carry the digest on the same way, so neither side holds a record
-together; the data of a record's rows, one after another and closed by two line ends, is its WARC form.
+take the rows in that order and carry the digest on the same way, so neither side holds a record together; the data of a record's rows, one after another and closed by two line ends, is its WARC form.
 
 Of records with equal payloads of at least ``LEAST`` bytes the one with the least key is a response; the others are
 revisits, whose headers name digest, length and that response, and which carry no payload again.
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, stored
 
 CHUNK = 64 << 10
 LEAST = 100
@@ -110,48 +109,64 @@ def write(df: DataFrame, key: str = "page_id", url: str = "url", payload: str =
 
 
 def read_chunks(spark, path: str) -> DataFrame:
-    """The chunk rows, each record's together and in order within a partition."""
-    rows = spark.read.schema(CHUNKS).parquet(path)
-    return rows.repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    return spark.read.schema(CHUNKS).parquet(path)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of chunk rows in order; one that is cut off at either end of the rows is named in ``broken`` instead."""
+    from urllib.parse import unquote
+
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "broken"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+    current, at, size, head, digest = None, -1, 0, None, hashlib.sha256()
+
+    def finished() -> tuple:
+        if head is None or size != int(head["Content-Length"]):
+            return (None,) * 6 + (current,)
+        found = head["WARC-Payload-Digest"].removeprefix("sha256:")
+        if head["WARC-Type"] != "revisit" and digest.hexdigest() != found:
+            raise ValueError(f"record {current} is damaged")
+        page, to, url = head.get("WARC-Page-ID"), head.get("WARC-Refers-To-Page"), head.get("WARC-Target-URI")
+        return (page and int(page), url and unquote(url), int(head["WARC-Payload-Length"]), found, head["WARC-Type"], to and int(to), None)
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows), kinds)], names=names)
+
+    for batch in batches:
+        done = []
+        for record_id, number, data, carried in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+            if record_id != current:
+                if current is not None:
+                    done.append(finished())
+                current, at, size, digest = record_id, number, 0, hashlib.sha256()
+                head = parse_header(data.as_py()) if number == 0 else None
+            elif head is not None:
+                if number != at + 1:
+                    raise ValueError(f"record {record_id}: chunk {number} is out of place")
+                at = number
+                digest.update(data.as_buffer())
+                size += len(data.as_buffer())
+            if head is not None and digest.hexdigest() != carried:
+                raise ValueError(f"record {record_id}: chunk {number} is damaged")
+        if done:
+            yield pack(done)
+    if current is not None:
+        yield pack([finished()])
 
 
 def records(spark, path: str) -> DataFrame:
-    """One row for each record, its payload read through and checked against the carried digests."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from urllib.parse import unquote
-
-        current, at, size, head, digest = None, -1, 0, {}, hashlib.sha256()
-
-        def finished() -> tuple:
-            revisit = head["WARC-Type"] == "revisit"
-            found = head["WARC-Payload-Digest"].removeprefix("sha256:")
-            if size != int(head["Content-Length"]) or not revisit and digest.hexdigest() != found:
-                raise ValueError(f"record {current} is not whole")
-            page, to = head.get("WARC-Page-ID"), head.get("WARC-Refers-To-Page")
-            url = head.get("WARC-Target-URI")
-            return (page and int(page), url and unquote(url), int(head["WARC-Payload-Length"]), found, head["WARC-Type"], to and int(to))
-
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows), kinds)], names=names)
-        for batch in batches:
-            done = []
-            for record_id, number, data, carried in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                if record_id != current:
-                    if current is not None:
-                        done.append(finished())
-                    current, at, size, digest = record_id, -1, 0, hashlib.sha256()
-                    head = parse_header(data.as_py())
-                else:
-                    digest.update(data.as_buffer())
-                    size += len(data.as_buffer())
-                if number != at + 1 or digest.hexdigest() != carried:
-                    raise ValueError(f"record {record_id}: chunk {number} is out of place or damaged")
-                at = number
-            if done:
-                yield pack(done)
-        if current is not None:
-            yield pack([finished()])
-
-    return read_chunks(spark, path).mapInArrow(run, RECORDS)
+    """One row for each record, its payload read through and checked against the carried digests.
+
+    Files hold a record's rows together and in order, so they are read where they lie. Only records that the border of two
+    scan tasks cuts are read again, dealt by record and sorted.
+    """
+    out = RECORDS + ", broken string"
+    read = stored(read_chunks(spark, path).mapInArrow(_read, out), "warc-records")
+    whole = read.where("broken is null").drop("broken")
+    cut = read.where("broken is not null").select(F.col("broken").alias("record_id")).distinct()
+    if cut.isEmpty():
+        return whole
+    again = read_chunks(spark, path).join(cut, "record_id", "left_semi").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    mended = again.mapInArrow(_read, out)
+    sound = F.when(F.col("broken").isNotNull(), F.raise_error(F.concat(F.lit("record is not whole: "), "broken"))).otherwise(F.lit(True))
+    return whole.union(mended.where(sound.cast("boolean")).drop("broken"))
