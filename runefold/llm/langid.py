@@ -29,7 +29,7 @@ BUCKETS = 4096
 CENTROIDS = 4
 #: Largest expected number of training rows a language that centroids are fitted on.
 SAMPLE = 1500
-SLACK = 0.1
+SLACK = 0.2
 BANDS = 24
 #: Length bands (powers of two of letter bytes) in which distances are unreliable.
 SHORT = 6

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, map_text, stored, string_buffer
+from .common import blocks, map_text, scratch, stored, string_buffer
 
 BINS = 256
 ROWS = 5
@@ -302,7 +302,12 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def groups(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id of each row."""
+    """doc_id, n_shingles and component_id of each row, written to the shared folder; tables on the way there are removed."""
+    with scratch(df.sparkSession):
+        return stored(_groups(df, width, percent, text, doc_id), "groups", keep=True)
+
+
+def _groups(df: DataFrame, width: int, percent: int, text: str, doc_id: str) -> DataFrame:
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     rows = stored(signed(docs, width, "text", ["doc"]), "signatures")
     usable = rows.where("doc is not null and n_shingles > 0")
@@ -367,7 +372,7 @@ def groups(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text",
 
 def deduplicated(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``df`` with one document of each group: the one with the least id; rows with a null id all stay."""
-    found = stored(groups(df, width, percent, text, doc_id), "groups")
+    found = groups(df, width, percent, text, doc_id)
     gone = found.where(F.col("component_id") != F.col(doc_id)).select(F.col(doc_id).alias("__rf_gone")).distinct()
     kept = df.join(gone, df[f"`{doc_id}`"] == gone["__rf_gone"], "left_anti")
     ids = found.where(F.col(doc_id).isNotNull())
