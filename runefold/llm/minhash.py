@@ -5,10 +5,11 @@ signature (one-permutation hashing). An empty bin borrows from the first filled
 (optimal densification). Bands of ``ROWS`` bins make bucket keys; documents with equal shingle sets count as one.
 Within a bucket candidates are stars: each member is paired with the centre, not with every other member. A pair is
 linked only if the full sets pass the threshold. Members that end in different groups could still be linked past their
-centre. In a small family all such pairs are tested. In a large one they must share shingles that the family's
-middle (what half of its members have) lacks, so these shingles deal the members into smaller families with centres of
-their own (``narrowed``), until each family is small or one group. So no link is lost to the star shape, while a
-bucket costs one pair a member.
+centre. Where a family has few members outside its main group, these meet all its others. Where it has many, linked
+ones must share shingles that the family's middle (what half of its members have) lacks, so these shingles deal the
+members into smaller families with centres of their own (``narrowed``), until few are outside the main group. Main
+members are dealt only where one from outside is (``smaller``). So no link is lost to the star shape, while pairs
+stay in proportion to members.
 
 Defined results: a text without words (or null) has no shingles and is linked with nothing; fewer words than the
 shingle width make one shingle of all of them. A null id is linked with nothing and its component is null. Rows that
@@ -22,7 +23,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +33,10 @@ BINS = 256
 ROWS = 5
 BANDS = BINS // ROWS
 BLOCK_BYTES = 4 << 20
-#: Members up to which a family's groups are compared directly; members that a family's middle is made of.
+#: Members outside a family's main group up to which they meet all its others; members that a family's middle is made of.
 SMALL, WITNESSES = 4, 15
+#: 64-bit words of a family's bitmap.
+WORDS = 2048
 
 _U = np.uint64
 _P, _INVERSE = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -187,11 +189,9 @@ def hashed_sets(df: DataFrame, width: int, text: str, keep: list[str]) -> DataFr
     return map_text(df, [T.StructField("shingles", T.BinaryType(), False)], make, text, keep)
 
 
-def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows with the sets of their documents ``c`` and ``x``."""
-    left = sets.select(F.col("doc").alias("c"), F.col("shingles").alias("__c"))
-    right = sets.select(F.col("doc").alias("x"), F.col("shingles").alias("__x"))
-    return rows.join(left, "c").join(right, "x")
+def _of(sets: DataFrame, rows: DataFrame, name: str, made: str) -> DataFrame:
+    """The sets of the documents in column ``name`` of stored ``rows``; others are left out before they are dealt."""
+    return sets.select(F.col("doc").alias(name), F.col("shingles").alias(made)).join(rows.select(name).distinct(), name, "left_semi")
 
 
 def consensus(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -220,8 +220,8 @@ def _common(a: pa.Scalar, b: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (c, x) whose full sets have 100 * intersection >= percent * union, as (a, b)."""
-    rows = _with_sets(pairs, sets).select("c", "x", "__c", "__x")
+    """(a, b), named so in the stored pairs (c, x, a, b) whose full sets have 100 * intersection >= percent * union."""
+    rows = pairs.join(_of(sets, pairs, "c", "__c"), "c").join(_of(sets, pairs, "x", "__x"), "x").select("a", "b", "__c", "__x")
 
     def run(batches):
         for batch in batches:
@@ -233,51 +233,87 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+_NARROW = "parent long, family long, x long, comp long, n long, weight long, slack long"
 
 
 def narrowed(rows: DataFrame, percent: int) -> DataFrame:
-    """Smaller families for members x (sets ``__x``) of families with any middle set ``__c``: (family, x, missing, middle).
+    """Smaller families for members x (sets ``__x``) of families with any middle set ``__c``: the columns ``_NARROW``.
 
     Take x and y of one family, with i(x) hashes in common with the middle. Linked, they have at least
     need = share * (n(x) + n(y)) in common, of which at most i(x) are the middle's. So they share need - i(x) of the
     hashes that the middle lacks, and hence one of the first (as many as there are, less that need, plus 1) in the
     order of all hashes: each such hash makes a new family of the members that have it. Two that do without must both
     be near the middle, and lack together at most middle - need of its hashes: either they lack one in common, and
-    each lacked hash makes a new family too; or what both lack adds up to no more than that, and they are linked for certain.
-    For these one more family holds the near members, with what they lack (``missing``, null elsewhere) and
-    the middle's size. ``lo`` is the size of the family's smallest member.
+    each lacked hash makes a new family too; or what both lack adds up to no more than that, and they are linked for
+    certain. For these one more family holds the near members with their ``slack`` (null elsewhere): two are linked for
+    certain where their slacks add up to 0 or more. ``lo`` is the size of the family's smallest member.
+    Where ``seen`` is not null, only families whose bits it has are made.
     """
     share = percent / (100 + percent)
-    rows = rows.select("family", "x", "lo", "__c", "__x")
+    rows = rows.select("family", "x", "comp", "n", "weight", "lo", "__c", "__x", "seen")
 
     def run(batches):
+        last, bits = None, None
         for batch in batches:
-            families, members, lacks, sizes = [], [], [], []
-            for family, x, lo, c, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+            made_of = []
+            plain = zip(*[batch.column(k).to_pylist() for k in (0, 3, 5)])
+            for (family, n, lo), c, own, seen in zip(plain, *[batch.column(k) for k in (6, 7, 8)]):
                 s, t, both = _common(c, own)
-                other = max(lo, int(np.ceil(len(t) * percent / 100)))
-                need = int(np.ceil(share * (len(t) + other) - 1e-9)) - int(both.sum())
+                other = max(lo, int(np.ceil(n * percent / 100)))
+                need = int(np.ceil(share * (n + other) - 1e-9)) - int(both.sum())
                 rest = t[~both]
                 marks = [rest[: max(0, len(rest) - max(need, 1) + 1)]]
-                lack = -1
+                slack = None
                 if need <= 0:
                     missed = np.setdiff1d(s, t, assume_unique=True)
-                    lack = len(missed)
+                    slack = (len(s) - 2 * len(missed)) * (100 + percent) - 2 * percent * n
                     marks += [~missed, np.zeros(1, _U)]
                 marks = np.concatenate(marks)
                 with np.errstate(over="ignore"):
                     made = mix(mix(marks) + np.array([family], np.int64).view(_U) * _P)
-                families.append(made.view(np.int64))
-                members.append(np.full(len(made), x, np.int64))
-                lacks.append(np.where(np.arange(len(made)) == len(made) - (lack >= 0), lack, -1))
-                sizes.append(np.full(len(made), len(s), np.int64))
-            for a in range(0, len(families), 256):
-                parts = [pa.array(np.concatenate(v[a : a + 256])) for v in (families, members, lacks, sizes)]
-                parts[2] = pc.if_else(pc.less(parts[2], 0), None, parts[2])
-                yield pa.RecordBatch.from_arrays(parts, names=["family", "x", "missing", "middle"])
-
-    return rows.mapInArrow(run, "family long, x long, missing long, middle long")
+                near = np.zeros(len(made), bool)
+                near[len(made) - 1 :] = slack is not None
+                if seen.is_valid:
+                    if last != family:
+                        last, bits = family, np.zeros(WORDS, np.int64)
+                        flat = seen.values
+                        bits[flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+                    hit = (bits.view(_U)[((made >> _U(6)) & _U(WORDS - 1)).astype(np.int64)] >> (made & _U(63))) & _U(1) == 1
+                    made, near = made[hit], near[hit]
+                made_of.append((made, near, slack or 0))
+            for a in range(0, len(made_of), 256):
+                part = made_of[a : a + 256]
+                times = [len(made) for made, _, _ in part]
+                old = [np.repeat(batch.column(k).slice(a, 256).to_numpy(zero_copy_only=False), times) for k in range(5)]
+                slacks = pa.array(np.repeat(np.array([slack for _, _, slack in part], np.int64), times), mask=~np.concatenate([near for _, near, _ in part]))
+                made = pa.array(np.concatenate([made for made, _, _ in part]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(old[0]), made, *map(pa.array, old[1:]), slacks], names=["parent", "family", "x", "comp", "n", "weight", "slack"])
+
+    return rows.mapInArrow(run, _NARROW)
+
+
+def bitmaps(made: DataFrame) -> DataFrame:
+    """family, seen: a bitmap (its words that are not 0, ``WORDS`` at most) of the new families made of each family."""
+    word, bit = F.expr(f"int(shiftright(family, 6) & {WORDS - 1})"), F.expr("bit_or(shiftleft(1L, int(family & 63)))")
+    words = made.groupBy(F.col("parent").alias("family"), word.alias("word")).agg(bit.alias("bits"))
+    return words.groupBy("family").agg(F.collect_list(F.struct("word", "bits")).alias("seen"))
+
+
+def smaller(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``narrowed`` of the stored members ``large``, less the families that only a family's main group would have.
+
+    A new link has an end outside the main group. So the few members outside come first, and of the others only what
+    may meet these is made. The bitmap lets some too many pass, which costs rows and loses nothing.
+    """
+    middle = stored(consensus(large, sets), "middle")
+    rows = large.join(_of(sets, large, "x", "__x"), "x")
+    outside = rows.where("comp <> main").join(middle, "family").withColumn("seen", F.lit(None).cast("array<struct<word:int,bits:long>>"))
+    outside = stored(narrowed(outside, percent), "outside")
+    middle = stored(middle.join(bitmaps(outside), "family"), "seen")
+    return stored(narrowed(rows.where("comp = main").join(middle, "family"), percent).union(outside), "narrow")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -301,6 +337,15 @@ def connected(edges: DataFrame) -> DataFrame:
     return comps.union(edges.select(F.col("v").alias("doc"), F.col("v").alias("comp")).distinct())
 
 
+def unresolved(families: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of the families (family, x) that hold more than one group: group, size, weight, main group, members outside it."""
+    named = families.join(comps.withColumnRenamed("doc", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x")).join(sizes, "x")
+    each = named.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("lo"))
+    tops = each.groupBy("family").agg(F.max(F.struct("many", "comp")).alias("m"), F.sum("many").alias("all"), F.min("lo").alias("lo"))
+    tops = tops.where("m.many < all").select("family", F.col("m.comp").alias("main"), F.expr("all - m.many").alias("odd"), "lo")
+    return named.join(tops, "family").select("family", "x", "comp", "n", "weight", "main", "odd", "lo")
+
+
 def groups(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id of each row, written to the shared folder; tables on the way there are removed."""
     with scratch(df.sparkSession):
@@ -323,47 +368,45 @@ def _groups(df: DataFrame, width: int, percent: int, text: str, doc_id: str) ->
     wanted = weight.select("doc")
     sets = stored(hashed_sets(docs.join(wanted, "doc", "left_semi"), width, "text", ["doc"]), "sets")
 
-    sizes = members.select("doc", "n", "weight").distinct()
+    sizes = members.select(F.col("doc").alias("x"), "n", "weight").distinct()
     centre = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc")).alias("less"))).alias("c"))
     stars = members.join(centre, "key").select((-F.col("c.less")).alias("c"), F.col("doc").alias("x")).where("c <> x").distinct()
     # a family is a centre and the members of the buckets that it is the centre of
-    families = stored(stars.select(F.col("c").alias("family"), "c", "x", F.lit(None).cast("long").alias("missing"), F.lit(None).cast("long").alias("middle")), "families")
-    comps = connected(linked(families.select("c", "x"), sets, percent))
+    stars = stored(stars.select("c", "x", F.col("c").alias("a"), F.col("x").alias("b")), "stars")
+    comps = stored(connected(linked(stars, sets, percent)), "comps")
     # families around centres of one group become one: a document is dealt with once, not once for each of its bands
-    heads = families.join(comps.select(F.col("doc").alias("c"), "comp"), "c", "left")
-    families = stored(heads.select(F.coalesce("comp", "c").alias("family"), "x", "missing", "middle").distinct(), "families")
+    heads = stars.select("c", "x").join(comps.select(F.col("doc").alias("c"), "comp"), "c", "left")
+    families = heads.select(F.coalesce("comp", "c").alias("family"), "x").distinct()
     while True:
-        named = families.join(comps.withColumnRenamed("doc", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
-        named = named.join(sizes.withColumnRenamed("doc", "x"), "x")
-        apart = named.groupBy("family").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"), F.min("n").alias("lo"), F.count(F.lit(1)).alias("many"))
-        open_ = named.join(apart.where("__a < __b").select("family", "lo", "many"), "family")
-        open_ = stored(open_.select("family", "x", "missing", "middle", "comp", "n", "weight", "lo", "many"), "open")
-        if open_.isEmpty():
+        open_ = stored(unresolved(families, comps, sizes), "open")
+        # few outside the main group meet all the rest; where many are, smaller families follow
+        counts = open_.groupBy().agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("odd") > SMALL, 1)).alias("large")).first()
+        if not counts["all"]:
             break
-        # small families: all that is not in the main group meets the rest; so do members that are near a middle,
-        # where what both lack leaves them linked
-        last = open_.where((F.col("many") <= SMALL) | F.col("missing").isNotNull())
-        main = last.groupBy("family", "comp").count().groupBy("family").agg(F.max(F.struct("count", "comp")).alias("m"))
-        odd = last.join(main, "family").where("comp <> m.comp")
-        odd = odd.select("family", F.col("x").alias("y"), F.col("comp").alias("ycomp"), F.col("n").alias("cn"), F.col("missing").alias("ymissing"))
-        fits = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent
-        certain = (F.col("middle") - F.col("missing") - F.col("ymissing")) * (100 + percent) >= (F.col("n") + F.col("cn")) * percent
-        near = F.col("missing").isNull() | (F.col("many") <= SMALL) | certain
-        pairs = last.join(odd, "family").where((F.col("comp") != F.col("ycomp")) & fits & near)
-        pairs = pairs.select(F.least("x", "y").alias("c"), F.greatest("x", "y").alias("x")).distinct()
-        # large ones: those of members that share a hash which the family's middle lacks
-        large = open_.where((F.col("many") > SMALL) & F.col("missing").isNull())
-        met = large.join(consensus(large, sets), "family").join(sets.select(F.col("doc").alias("x"), F.col("shingles").alias("__x")), "x")
-        narrow = stored(narrowed(met, percent), "narrow")
-        narrow = narrow.join(comps.withColumnRenamed("doc", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
-        narrow = narrow.join(sizes.withColumnRenamed("doc", "x"), "x")
-        heads = narrow.groupBy("family").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"), F.max(F.struct((-F.coalesce("missing", F.lit(0))).alias("near"), "weight", (-F.col("x")).alias("less"))).alias("c"))
-        heads = heads.where("__a < __b").select("family", (-F.col("c.less")).alias("c"))
-        families = stored(narrow.join(heads, "family").where("c <> x").select("family", "c", "x", "missing", "middle"), "families")
-        new = stored(pairs.union(families.select("c", "x")).distinct(), "pairs")
-        links = stored(linked(new, sets, percent), "links")
+        few = open_.where(F.col("odd") <= SMALL)
+        y = few.where("comp <> main").select("family", F.col("x").alias("y"), F.col("comp").alias("ycomp"), F.col("n").alias("yn"))
+        pairs = few.join(y, "family").where((F.col("comp") != F.col("ycomp")) & (F.least("n", "yn") * 100 >= F.greatest("n", "yn") * percent))
+        pairs = pairs.select(F.least("x", "y").alias("c"), F.greatest("x", "y").alias("x"), F.least("comp", "ycomp").alias("a"), F.greatest("comp", "ycomp").alias("b"))
+        families = None
+        if counts["large"]:
+            large = open_.where(F.col("odd") > SMALL)
+            narrow = smaller(large, sets, percent)
+            # a star in each: of those near a middle, the one with the most slack is linked with all that are linked for certain
+            first = F.max(F.struct("slack", "weight", (-F.col("x")).alias("less"), F.col("comp").alias("b"))).alias("h")
+            heads = narrow.groupBy("family").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"), first).where("__a < __b").select("family", "h")
+            narrow = stored(narrow.join(heads, "family"), "families")
+            star = narrow.where("comp <> h.b and (slack is null or slack + h.slack >= 0)")
+            pairs = pairs.union(star.select((-F.col("h.less")).alias("c"), "x", F.least("comp", "h.b"), F.greatest("comp", "h.b")))
+            families = narrow.where("slack is null").select("family", "x")
+        pairs = stored(pairs.dropDuplicates(["c", "x"]), "pairs")
+        links = stored(linked(pairs, sets, percent), "links")
         if not links.isEmpty():
-            comps = connected(links.union(comps.select(F.col("comp").alias("a"), F.col("doc").alias("b"))))
+            # links join whole groups, so only these are relabelled
+            to = stored(connected(links), "to")
+            old = comps.join(to.select(F.col("doc").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("doc", F.coalesce("to", "comp").alias("comp"))
+            comps = stored(old.union(to.join(comps, "doc", "left_anti")), "comps")
+        if families is None:
+            break
     named = classes.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc").isNull(), None).otherwise(F.coalesce("component_id", "doc"))
