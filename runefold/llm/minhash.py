@@ -34,7 +34,7 @@ ROWS = 5
 BANDS = BINS // ROWS
 BLOCK_BYTES = 4 << 20
 #: Members outside a family's main group up to which they meet all its others; members that a family's middle is made of.
-SMALL, WITNESSES = 4, 15
+SMALL, WITNESSES = 4, 31
 #: 64-bit words of a family's bitmap.
 WORDS = 2048
 
@@ -195,20 +195,23 @@ def _of(sets: DataFrame, rows: DataFrame, name: str, made: str) -> DataFrame:
 
 
 def consensus(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """family, __c: the hashes that half of (at most ``WITNESSES``) members of each family have."""
+    """family, __c, others, held: hashes that half of (at most ``WITNESSES``) members of each family have; the others' hashes and how many have them."""
     order = Window.partitionBy("family").orderBy(F.desc("weight"), "x")
     some = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= WITNESSES).select("family", F.col("x").alias("doc"))
     held = some.join(sets, "doc").groupBy("family").agg(F.collect_list("shingles").alias("held"))  # WITNESSES sets at most
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, others, times = [], [], []
             for held in batch.column(1):
                 values, counts = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), _U) for x in held.values]), return_counts=True)
-                out.append(values[2 * counts >= len(held.values)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["family", "__c"])
+                half = 2 * counts >= len(held.values)
+                out.append(values[half].tobytes())
+                others.append(values[~half].tobytes())
+                times.append(counts[~half].astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, pa.binary()) for v in (out, others, times)]], names=["family", "__c", "others", "held"])
 
-    return held.mapInArrow(run, "family long, __c binary")
+    return held.mapInArrow(run, "family long, __c binary, others binary, held binary")
 
 
 def _common(a: pa.Scalar, b: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,8 +247,8 @@ def narrowed(rows: DataFrame, percent: int) -> DataFrame:
 
     Take x and y of one family, with i(x) hashes in common with the middle. Linked, they have at least
     need = share * (n(x) + n(y)) in common, of which at most i(x) are the middle's. So they share need - i(x) of the
-    hashes that the middle lacks, and hence one of the first (as many as there are, less that need, plus 1) in the
-    order of all hashes: each such hash makes a new family of the members that have it. Two that do without must both
+    hashes that the middle lacks, and hence one of the first (as many as there are, less that need, plus 1) in an
+    order of all hashes, rare ones first as ``held`` by the middle's members: each such hash makes a new family of the members that have it. Two that do without must both
     be near the middle, and lack together at most middle - need of its hashes: either they lack one in common, and
     each lacked hash makes a new family too; or what both lack adds up to no more than that, and they are linked for
     certain. For these one more family holds the near members with their ``slack`` (null elsewhere): two are linked for
@@ -253,18 +256,22 @@ def narrowed(rows: DataFrame, percent: int) -> DataFrame:
     Where ``seen`` is not null, only families whose bits it has are made.
     """
     share = percent / (100 + percent)
-    rows = rows.select("family", "x", "comp", "n", "weight", "lo", "__c", "__x", "seen")
+    rows = rows.select("family", "x", "comp", "n", "weight", "lo", "__c", "__x", "seen", "others", "held")
 
     def run(batches):
         last, bits = None, None
         for batch in batches:
             made_of = []
             plain = zip(*[batch.column(k).to_pylist() for k in (0, 3, 5)])
-            for (family, n, lo), c, own, seen in zip(plain, *[batch.column(k) for k in (6, 7, 8)]):
+            for (family, n, lo), c, own, seen, others, held in zip(plain, *[batch.column(k) for k in range(6, 11)]):
                 s, t, both = _common(c, own)
                 other = max(lo, int(np.ceil(n * percent / 100)))
                 need = int(np.ceil(share * (n + other) - 1e-9)) - int(both.sum())
                 rest = t[~both]
+                known, times = np.frombuffer(others.as_buffer(), _U), np.frombuffer(held.as_buffer(), np.uint8)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, rest), len(known) - 1)
+                    rest = rest[np.argsort(np.where(known[at] == rest, times[at], 0), kind="stable")]
                 marks = [rest[: max(0, len(rest) - max(need, 1) + 1)]]
                 slack = None
                 if need <= 0:
