@@ -34,7 +34,7 @@ ROWS = 5
 BANDS = BINS // ROWS
 BLOCK_BYTES = 4 << 20
 #: Members outside a family's main group up to which they meet all its others; members that a family's middle is made of.
-SMALL, WITNESSES = 4, 31
+SMALL, WITNESSES = 8, 31
 #: 64-bit words of a family's bitmap.
 WORDS = 2048
 
@@ -344,13 +344,19 @@ def connected(edges: DataFrame) -> DataFrame:
     return comps.union(edges.select(F.col("v").alias("doc"), F.col("v").alias("comp")).distinct())
 
 
-def unresolved(families: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Members of the families (family, x) that hold more than one group: group, size, weight, main group, members outside it."""
-    named = families.join(comps.withColumnRenamed("doc", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x")).join(sizes, "x")
-    each = named.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("lo"))
-    tops = each.groupBy("family").agg(F.max(F.struct("many", "comp")).alias("m"), F.sum("many").alias("all"), F.min("lo").alias("lo"))
-    tops = tops.where("m.many < all").select("family", F.col("m.comp").alias("main"), F.expr("all - m.many").alias("odd"), "lo")
-    return named.join(tops, "family").select("family", "x", "comp", "n", "weight", "main", "odd", "lo")
+def unresolved(families: DataFrame) -> DataFrame:
+    """Members of the families that hold more than one group, with the main group, the number outside it, the least size and the centre h."""
+    centre = F.max(F.struct("slack", "weight", (-F.col("x")).alias("less"), F.col("comp").alias("b"))).alias("h")
+    each = families.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("lo"), centre)
+    tops = each.groupBy("family").agg(F.max(F.struct("many", "comp")).alias("m"), F.sum("many").alias("all"), F.min("lo").alias("lo"), F.max("h").alias("h"))
+    tops = tops.where("m.many < all").select("family", F.col("m.comp").alias("main"), F.expr("all - m.many").alias("odd"), "lo", "h")
+    return families.join(tops, "family").select("family", "x", "comp", "n", "weight", "slack", "main", "odd", "lo", "h")
+
+
+def relabelled(rows: DataFrame, to: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the group in column ``name`` replaced by the one that it is now part of."""
+    found = rows.join(to.select(F.col("doc").alias(name), F.col("comp").alias("__to")), name, "left")
+    return found.select(*[F.coalesce("__to", name).alias(name) if c == name else F.col(c) for c in rows.columns])
 
 
 def groups(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -382,38 +388,35 @@ def _groups(df: DataFrame, width: int, percent: int, text: str, doc_id: str) ->
     stars = stored(stars.select("c", "x", F.col("c").alias("a"), F.col("x").alias("b")), "stars")
     comps = stored(connected(linked(stars, sets, percent)), "comps")
     # families around centres of one group become one: a document is dealt with once, not once for each of its bands
-    heads = stars.select("c", "x").join(comps.select(F.col("doc").alias("c"), "comp"), "c", "left")
-    families = heads.select(F.coalesce("comp", "c").alias("family"), "x").distinct()
+    heads = stars.select("c", "x").join(comps.select(F.col("doc").alias("c"), F.col("comp").alias("family")), "c", "left")
+    families = heads.select(F.coalesce("family", "c").alias("family"), "x").distinct().join(sizes, "x").join(comps.withColumnRenamed("doc", "x"), "x", "left")
+    families = families.select("family", "x", F.coalesce("comp", "x").alias("comp"), "n", "weight", F.lit(None).cast("long").alias("slack"))
     while True:
-        open_ = stored(unresolved(families, comps, sizes), "open")
-        # few outside the main group meet all the rest; where many are, smaller families follow
-        counts = open_.groupBy().agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("odd") > SMALL, 1)).alias("large")).first()
+        open_ = stored(unresolved(families), "open")
+        # few outside the main group meet all the rest; where many are, a star comes first and smaller families follow
+        many = (F.col("odd") > SMALL) & F.col("slack").isNull()
+        counts = open_.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(many, 1)).alias("large")).first()
         if not counts["all"]:
             break
-        few = open_.where(F.col("odd") <= SMALL)
+        few = open_.where((F.col("odd") <= SMALL) & F.col("slack").isNull())
         y = few.where("comp <> main").select("family", F.col("x").alias("y"), F.col("comp").alias("ycomp"), F.col("n").alias("yn"))
         pairs = few.join(y, "family").where((F.col("comp") != F.col("ycomp")) & (F.least("n", "yn") * 100 >= F.greatest("n", "yn") * percent))
         pairs = pairs.select(F.least("x", "y").alias("c"), F.greatest("x", "y").alias("x"), F.least("comp", "ycomp").alias("a"), F.greatest("comp", "ycomp").alias("b"))
-        families = None
-        if counts["large"]:
-            large = open_.where(F.col("odd") > SMALL)
-            narrow = smaller(large, sets, percent)
-            # a star in each: of those near a middle, the one with the most slack is linked with all that are linked for certain
-            first = F.max(F.struct("slack", "weight", (-F.col("x")).alias("less"), F.col("comp").alias("b"))).alias("h")
-            heads = narrow.groupBy("family").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"), first).where("__a < __b").select("family", "h")
-            narrow = stored(narrow.join(heads, "family"), "families")
-            star = narrow.where("comp <> h.b and (slack is null or slack + h.slack >= 0)")
-            pairs = pairs.union(star.select((-F.col("h.less")).alias("c"), "x", F.least("comp", "h.b"), F.greatest("comp", "h.b")))
-            families = narrow.where("slack is null").select("family", "x")
-        pairs = stored(pairs.dropDuplicates(["c", "x"]), "pairs")
+        # of those near a middle, the one with the most slack is linked with all that are linked for certain
+        star = open_.where("comp <> h.b").where(many | (F.col("slack") + F.col("h.slack") >= 0))
+        star = star.select(F.least(-F.col("h.less"), "x").alias("c"), F.greatest(-F.col("h.less"), "x").alias("x"), F.least("comp", "h.b"), F.greatest("comp", "h.b"))
+        pairs = stored(pairs.union(star).dropDuplicates(["c", "x"]), "pairs")
         links = stored(linked(pairs, sets, percent), "links")
+        large = open_.where(many)
         if not links.isEmpty():
             # links join whole groups, so only these are relabelled
             to = stored(connected(links), "to")
-            old = comps.join(to.select(F.col("doc").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("doc", F.coalesce("to", "comp").alias("comp"))
-            comps = stored(old.union(to.join(comps, "doc", "left_anti")), "comps")
-        if families is None:
+            comps = relabelled(comps, to, "comp").union(to.join(comps, "doc", "left_anti"))
+            comps = stored(comps, "comps")
+            large = stored(relabelled(relabelled(large, to, "comp"), to, "main"), "large")
+        if not counts["large"]:
             break
+        families = smaller(large, sets, percent).drop("parent")
     named = classes.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc").isNull(), None).otherwise(F.coalesce("component_id", "doc"))
