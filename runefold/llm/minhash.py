@@ -189,6 +189,12 @@ def hashed_sets(df: DataFrame, width: int, text: str, keep: list[str]) -> DataFr
     return map_text(df, [T.StructField("shingles", T.BinaryType(), False)], make, text, keep)
 
 
+def ids(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` for tables of a few numbers a row, in fewer files: they are a hundredth of the sets that share the setting."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.coalesce(max(8, parts // 4)), name)
+
+
 def _of(sets: DataFrame, rows: DataFrame, name: str, made: str) -> DataFrame:
     """The sets of the documents in column ``name`` of stored ``rows``; others are left out before they are dealt."""
     return sets.select(F.col("doc").alias(name), F.col("shingles").alias(made)).join(rows.select(name).distinct(), name, "left_semi")
@@ -328,7 +334,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Alternates large and small stars; each round is a few aggregations and joins and is written to the shared folder.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = ids(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         # done when each document has one edge down, to one that has none
         ends = edges.select(F.col("u").alias("d"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
@@ -339,7 +345,7 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        edges = ids(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     comps = edges.select(F.col("u").alias("doc"), F.col("v").alias("comp"))
     return comps.union(edges.select(F.col("v").alias("doc"), F.col("v").alias("comp")).distinct())
 
@@ -385,14 +391,14 @@ def _groups(df: DataFrame, width: int, percent: int, text: str, doc_id: str) ->
     centre = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc")).alias("less"))).alias("c"))
     stars = members.join(centre, "key").select((-F.col("c.less")).alias("c"), F.col("doc").alias("x")).where("c <> x").distinct()
     # a family is a centre and the members of the buckets that it is the centre of
-    stars = stored(stars.select("c", "x", F.col("c").alias("a"), F.col("x").alias("b")), "stars")
-    comps = stored(connected(linked(stars, sets, percent)), "comps")
+    stars = ids(stars.select("c", "x", F.col("c").alias("a"), F.col("x").alias("b")), "stars")
+    comps = ids(connected(linked(stars, sets, percent)), "comps")
     # families around centres of one group become one: a document is dealt with once, not once for each of its bands
     heads = stars.select("c", "x").join(comps.select(F.col("doc").alias("c"), F.col("comp").alias("family")), "c", "left")
     families = heads.select(F.coalesce("family", "c").alias("family"), "x").distinct().join(sizes, "x").join(comps.withColumnRenamed("doc", "x"), "x", "left")
     families = families.select("family", "x", F.coalesce("comp", "x").alias("comp"), "n", "weight", F.lit(None).cast("long").alias("slack"))
     while True:
-        open_ = stored(unresolved(families), "open")
+        open_ = ids(unresolved(families), "open")
         # few outside the main group meet all the rest; where many are, a star comes first and smaller families follow
         many = (F.col("odd") > SMALL) & F.col("slack").isNull()
         counts = open_.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(many, 1)).alias("large")).first()
@@ -405,15 +411,15 @@ def _groups(df: DataFrame, width: int, percent: int, text: str, doc_id: str) ->
         # of those near a middle, the one with the most slack is linked with all that are linked for certain
         star = open_.where("comp <> h.b").where(many | (F.col("slack") + F.col("h.slack") >= 0))
         star = star.select(F.least(-F.col("h.less"), "x").alias("c"), F.greatest(-F.col("h.less"), "x").alias("x"), F.least("comp", "h.b"), F.greatest("comp", "h.b"))
-        pairs = stored(pairs.union(star).dropDuplicates(["c", "x"]), "pairs")
-        links = stored(linked(pairs, sets, percent), "links")
+        pairs = ids(pairs.union(star).dropDuplicates(["c", "x"]), "pairs")
+        links = ids(linked(pairs, sets, percent), "links")
         large = open_.where(many)
         if not links.isEmpty():
             # links join whole groups, so only these are relabelled
-            to = stored(connected(links), "to")
+            to = ids(connected(links), "to")
             comps = relabelled(comps, to, "comp").union(to.join(comps, "doc", "left_anti"))
-            comps = stored(comps, "comps")
-            large = stored(relabelled(relabelled(large, to, "comp"), to, "main"), "large")
+            comps = ids(comps, "comps")
+            large = ids(relabelled(relabelled(large, to, "comp"), to, "main"), "large")
         if not counts["large"]:
             break
         families = smaller(large, sets, percent).drop("parent")
