@@ -32,7 +32,7 @@ from .common import blocks, map_text, scratch, stored, string_buffer
 BINS = 256
 ROWS = 5
 BANDS = BINS // ROWS
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Members outside a family's main group up to which they meet all its others; members that a family's middle is made of.
 SMALL, WITNESSES = 8, 31
 #: 64-bit words of a family's bitmap.
