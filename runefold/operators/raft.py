@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -74,3 +74,57 @@ def log_matching(logs: DataFrame) -> DataFrame:
     w = Window.partitionBy("node").orderBy("idx")
     steps = logs.withColumn("h", F.sum(F.xxhash64("idx", "term").cast("decimal(38,0)")).over(w))
     return steps.groupBy("idx", "term").agg(F.count_distinct("h").alias("prefixes")).where("prefixes > 1")
+
+
+def up_to_date(term: str, idx: str, own_term: str, own_idx: str) -> Column:
+    """Whether a log that ends at (idx, term) is at least as new as one's own: the term decides, then the length."""
+    return F.struct(F.col(term), F.col(idx)) >= F.struct(F.col(own_term), F.col(own_idx))
+
+
+def grants(requests: DataFrame) -> DataFrame:
+    """Adds granted to vote requests (term, candidate, last_term, last_idx, own_term, voted_for, own_last_term, own_last_idx).
+
+    A stale term is denied; a newer term clears the vote already given; a log behind one's own is denied.
+    """
+    free = (F.col("term") > F.col("own_term")) | F.col("voted_for").isNull() | (F.col("voted_for") == F.col("candidate"))
+    newer = up_to_date("last_term", "last_idx", "own_last_term", "own_last_idx")
+    return requests.withColumn("granted", (F.col("term") >= F.col("own_term")) & free & newer)
+
+
+def next_batches(log: DataFrame, follower: DataFrame, entries: int, size: int) -> DataFrame:
+    """node, first, last, n, bytes of the next batch for each follower (node, match) from a log (idx, bytes).
+
+    It ends at ``entries`` or before the total passes ``size``; the first entry always goes. Only the ``entries`` that
+    can be in a batch are joined, so that the running sum is over a bounded group.
+    """
+    wanted = follower.select("node", F.explode(F.sequence(F.col("match") + 1, F.col("match") + entries)).alias("idx"))
+    w = Window.partitionBy("node").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.join(wanted, "idx").withColumn("total", F.sum("bytes").over(w)).withColumn("before", F.col("total") - F.col("bytes"))
+    sent = rows.where((F.col("total") <= size) | (F.col("before") == 0))
+    return sent.groupBy("node").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+
+
+def follower_commit(messages: DataFrame) -> DataFrame:
+    """Adds new_commit to append messages (commit, leader_commit, prev, n): no further than what they confirm, never back."""
+    return messages.withColumn("new_commit", F.greatest("commit", F.least(F.col("leader_commit"), F.col("prev") + F.col("n"))))
+
+
+def snapshot_plan(follower: DataFrame, threshold: int, offset: Column) -> DataFrame:
+    """node, snapshots, needs_snapshot: how many a follower took itself, and whether its next entry is compacted away."""
+    return follower.select("node", F.floor(F.col("match") / threshold).alias("snapshots"), (F.col("match") < offset).alias("needs_snapshot"))
+
+
+def compacted(log: DataFrame, node_offsets: DataFrame) -> DataFrame:
+    """Entries after each node's snapshot offset; node_offsets has a row a node and is broadcast."""
+    return log.join(F.broadcast(node_offsets), "node").where("idx > offset").select("node", "idx", "term")
+
+
+def gaps(log: DataFrame) -> DataFrame:
+    """node, missing: entries absent between a log's first and last, found without ordering it; must be empty."""
+    spans = log.groupBy("node").agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.count_distinct("idx").alias("n"))
+    return spans.select("node", (F.col("b") - F.col("a") + 1 - F.col("n")).alias("missing")).where("missing > 0")
+
+
+def divergent(logs: DataFrame) -> DataFrame:
+    """idx, terms of the entries on which nodes differ: must be empty for committed ones."""
+    return logs.groupBy("idx").agg(F.count_distinct("term").alias("terms")).where("terms > 1")

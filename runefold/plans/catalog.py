@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions import codecs
 from ..operators import bloom, faults, fold, linearize, manifest, raft
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,6 +189,55 @@ register("raft_proposal_outcome", RAFT + "SELECT l.idx, CASE WHEN f.idx IS NULL
 )
 
 
+def _logs(spark, sf_dir):
+    return schema.leader_log(spark, sf_dir), schema.follower_logs(spark, sf_dir)
+
+
+register("raft_divergent_entries", RAFT + "SELECT idx, count(DISTINCT term) AS terms FROM (SELECT idx, term FROM followers UNION ALL SELECT idx, term FROM leader) GROUP BY idx HAVING count(DISTINCT term) > 1")(
+    lambda spark, sf_dir: raft.divergent(schema.follower_logs(spark, sf_dir).select("idx", "term").union(schema.leader_log(spark, sf_dir)))
+)
+register("raft_invariant_logs_identical", RAFT + ", merged AS (SELECT node, l.idx, l.term FROM ends, leader l) SELECT idx, count(DISTINCT term) AS terms FROM merged GROUP BY idx HAVING count(DISTINCT term) > 1")(
+    lambda spark, sf_dir: raft.divergent(raft.merged(*_logs(spark, sf_dir)))
+)
+register("raft_invariant_committed_stable", RAFT + ", seen AS (SELECT f.idx, f.term FROM followers f JOIN ends USING (node) WHERE f.idx <= match UNION ALL SELECT idx, term FROM leader) SELECT idx, count(DISTINCT term) AS terms FROM seen GROUP BY idx HAVING count(DISTINCT term) > 1")(
+    lambda spark, sf_dir: _committed_stable(*_logs(spark, sf_dir))
+)
+register("raft_log_gaps", "SELECT o_custkey AS node, max(o_orderkey) - min(o_orderkey) + 1 - count(DISTINCT o_orderkey) AS missing FROM orders GROUP BY o_custkey HAVING missing > 0")(
+    lambda spark, sf_dir: raft.gaps(schema.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("idx")))
+)
+register("raft_compacted_log", RAFT + "SELECT f.node, f.idx, f.term FROM followers f JOIN ends USING (node) WHERE f.idx > match // 100 * 100")(
+    lambda spark, sf_dir: raft.compacted(schema.follower_logs(spark, sf_dir), raft.match_index(*_logs(spark, sf_dir)).select("node", F.expr("match div 100 * 100").alias("offset")))
+)
+register("raft_snapshot_plan", RAFT + "SELECT node, match // 100 AS snapshots, match < 14500 AS needs_snapshot FROM ends")(
+    lambda spark, sf_dir: raft.snapshot_plan(raft.match_index(*_logs(spark, sf_dir)), 100, F.lit(14500))
+)
+register("raft_next_batches", RAFT + ", e AS (SELECT o_orderkey + 1 AS idx, length(o_orderpriority) + 20 AS bytes FROM orders), b AS (SELECT node, e.idx, bytes, sum(bytes) OVER (PARTITION BY node ORDER BY e.idx) AS total, row_number() OVER (PARTITION BY node ORDER BY e.idx) AS r FROM ends JOIN e ON e.idx > match) SELECT node, min(idx) AS first, max(idx) AS last, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM b WHERE r <= 64 AND (total <= 1500 OR r = 1) GROUP BY node")(
+    lambda spark, sf_dir: raft.next_batches(
+        schema.table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("idx"), (F.length("o_orderpriority") + 20).alias("bytes")), raft.match_index(*_logs(spark, sf_dir)), 64, 1500
+    )
+)
+register("raft_follower_commit", "SELECT o_orderkey, node, CASE WHEN bound > match THEN bound ELSE match END AS new_commit FROM (SELECT o_orderkey, node, (o_custkey * node) % 97 AS match, CASE WHEN o_custkey % 89 < o_orderkey % 80 + node THEN o_custkey % 89 ELSE o_orderkey % 80 + node END AS bound FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS node))")(
+    lambda spark, sf_dir: raft.follower_commit(
+        _matches(spark, sf_dir).select("o_orderkey", "node", F.col("match").alias("commit"), F.expr("o_custkey % 89").alias("leader_commit"), F.expr("o_orderkey % 80").alias("prev"), F.col("node").alias("n"))
+    ).select("o_orderkey", "node", "new_commit")
+)
+_REQUEST = {
+    "term": "o_orderkey % 5", "candidate": "o_custkey % 3", "last_term": "o_custkey % 4", "last_idx": "o_orderkey % 11", "own_term": "o_custkey % 5",
+    "voted_for": "CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 3 END", "own_last_term": "o_orderkey % 4", "own_last_idx": "o_custkey % 13",
+}
+register(
+    "raft_vote_grants",
+    f"SELECT o_orderkey, CASE WHEN term < own_term THEN false WHEN term = own_term AND voted_for IS NOT NULL AND voted_for <> candidate THEN false WHEN last_term <> own_last_term THEN last_term > own_last_term ELSE last_idx >= own_last_idx END AS granted FROM (SELECT o_orderkey, {', '.join(f'{v} AS {k}' for k, v in _REQUEST.items())} FROM orders)",
+)(lambda spark, sf_dir: raft.grants(schema.table(spark, sf_dir, "orders").select("o_orderkey", *[F.expr(v).alias(k) for k, v in _REQUEST.items()])).select("o_orderkey", "granted"))
+
+
+def _committed_stable(leader, followers):
+    """What followers have of their agreed prefix, beside the leader's log."""
+    at = raft.match_index(leader, followers)  # a row a node is broadcast
+    agreed = followers.join(F.broadcast(at), "node").where("idx <= match").select("idx", "term")
+    return raft.divergent(agreed.union(leader.select("idx", "term")))
+
+
 def _history(spark, sf_dir):
     """Writes, and gets with the write each observed: the last one before it, or for corrupted gets the one before that."""
     from pyspark.sql import Window
@@ -225,6 +275,18 @@ def _lin_check(spark, sf_dir):
     ))
 
 
+_TORN = OPLOG + """SELECT 'seg' || (seq // 512) AS path, seq % 512 AS n, op, k, v FROM oplog
+WHERE NOT ((seq // 512) % 3 = 0 AND (seq % 512 = 511 OR seq = (SELECT max(seq) FROM oplog)))"""
+
+
+@register("wal_recover", _TORN)
+def _wal_recover(spark, sf_dir):
+    """Binary logs of 512 records, every third torn within its last record, and what recovery keeps of them."""
+    logs = codecs.segments(schema.oplog(spark, sf_dir), 512)
+    torn = F.expr("if(int(substr(path, 4)) % 3 = 0, substr(content, 1, length(content) - 1), content)")
+    return codecs.recover(logs.withColumn("content", torn)).select("path", "n", "op", F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"))
+
+
 @register("test_matrix", "WITH e AS (SELECT 's' || conv_id % 5 AS suite, 't' || conv_id AS test, CASE turn % 4 WHEN 0 THEN 'run' WHEN 1 THEN 'pass' WHEN 2 THEN 'skip' ELSE 'fail' END AS action FROM conversations) SELECT suite, test, CASE max(CASE action WHEN 'fail' THEN 3 WHEN 'skip' THEN 2 WHEN 'pass' THEN 1 ELSE 0 END) WHEN 3 THEN 'fail' WHEN 2 THEN 'skip' WHEN 1 THEN 'pass' ELSE 'missing' END AS status, count(*) AS events FROM e GROUP BY ALL")
 def _test_matrix(spark, sf_dir):
     c = schema.table(spark, sf_dir, "conversations")

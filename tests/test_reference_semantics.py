@@ -120,3 +120,37 @@ def test_stream_apply(spark, tmp_path):
     apply_stream(spark.readStream.schema(LOG).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/c")
     assert store.read().collect() == [("b", "2")]
     assert store.entries().where(F.col("op") == "delete").count() == 1
+
+
+def test_up_to_date_compares_term_then_length(spark):
+    ends = [(3, 2), (9, 2), (1, 2), (1, 5), (99, 1), (0, 0)]
+    rows = spark.createDataFrame([(i, t, 3, 2) for i, t in ends], "i long, t long, own_i long, own_t long")
+    found = {(r.i, r.t): r.ok for r in rows.withColumn("ok", raft.up_to_date("t", "i", "own_t", "own_i")).collect()}
+    assert [found[e] for e in ends] == [True, True, False, True, False, False]
+
+
+def test_next_batches_keep_both_caps_and_send_the_first(spark):
+    log = spark.createDataFrame([(i, 900 if i == 4 else 100) for i in range(1, 41)], "idx long, bytes long")
+    follower = spark.createDataFrame([(1, 0), (2, 3), (3, 10), (4, 40)], "node int, match long")
+    found = {r.node: (r.first, r.last, r.bytes) for r in raft.next_batches(log, follower, 8, 512).collect()}
+    assert found == {1: (1, 3, 300), 2: (4, 4, 900), 3: (11, 15, 500)}
+    assert raft.next_batches(log, follower.where("node = 3"), 4, 10_000).first().n == 4
+
+
+def test_follower_commits_no_further_than_confirmed(spark):
+    rows = spark.createDataFrame([(0, 5, 2, 0), (3, 1, 0, 1), (1, 9, 4, 3)], "commit long, leader_commit long, prev long, n long")
+    assert [r.new_commit for r in raft.follower_commit(rows).collect()] == [2, 3, 7]
+
+
+def test_gaps_and_compaction(spark):
+    log = spark.createDataFrame([(1, i, 1) for i in (1, 2, 4, 7)] + [(2, i, 1) for i in (5, 6)], "node int, idx long, term long")
+    assert [(r.node, r.missing) for r in raft.gaps(log).collect()] == [(1, 3)]
+    offsets = spark.createDataFrame([(1, 2), (2, 6)], "node int, offset long")
+    assert sorted(r.idx for r in raft.compacted(log, offsets).collect()) == [4, 7]
+
+
+def test_torn_segments_recover_their_whole_prefix(spark):
+    log = spark.createDataFrame([(i, "delete" if i % 3 == 0 else "put", f"k{i}", None if i % 3 == 0 else f"v{i}") for i in range(30)], "seq long, op string, k string, v string")
+    torn = codecs.segments(log, 10).selectExpr("path", "if(path = 'seg1', substr(content, 1, length(content) - 3), content) as content")
+    found = sorted((r.path, r.n, r.op, bytes(r.k).decode(), r.v and bytes(r.v).decode()) for r in codecs.recover(torn).collect())
+    assert found == sorted((f"seg{i // 10}", i % 10, "delete" if i % 3 == 0 else "put", f"k{i}", None if i % 3 == 0 else f"v{i}") for i in range(30) if i != 19)
