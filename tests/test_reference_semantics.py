@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runefold.functions import codecs
+from runefold import schema
 from runefold.operators import faults, fold, linearize, manifest, raft
 from runefold.sources.store import Store
 from runefold.streaming.apply import apply_stream
@@ -35,6 +36,21 @@ def test_manifest(spark):
     assert {r["number"] for r in manifest.live_files(e).collect()} == {3}
 
 
+RANGES = [(i, i % 4, f"{37 * i % 900:08d}", f"{37 * i % 900 + i % 150:08d}") for i in range(120)]
+
+
+def meets(a, b):
+    return a[2] <= b[3] and b[2] <= a[3]
+
+
+def test_files_are_all_orders_and_overlap_as_by_brute_force(spark, tmp_path):
+    orders = [(i, 31 * i % 2000) for i in (0, 1999, 2000, 2001, 2002, 9000, 70_000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r["number"] for r in schema.files(spark, str(tmp_path)).collect()} == {i for i, _ in orders}
+    found = [tuple(r) for r in manifest.overlaps(spark.createDataFrame(RANGES, schema.FILE)).collect()]
+    assert sorted(found) == sorted((a[0], b[0], a[1]) for a in RANGES for b in RANGES if b[1] == a[1] + 1 and meets(a, b))
+
+
 def test_commit_and_conflicts(spark):
     m = spark.createDataFrame([("g", n, x) for n, x in enumerate([9, 7, 5, 3, 1])], "g string, node int, match long")
     assert raft.commit_index(m, "g", 3).first()["commit"] == 5
