@@ -1,9 +1,12 @@
 """Operator 10: URL filter by path-template trees.
 
 For each host, path segments that look variable (numbers, hex strings, dates, long slugs) become wildcards, which
-gives templates. Templates that differ in one literal segment are branches of one node; branches whose labelled
-shares do not differ significantly from the node's pooled share are merged into a wildcard branch. A template is rejected
-if its smoothed labelled purity (share of "block" among its labelled URLs) is at least ``PURITY``.
+gives templates. Templates that differ in one literal segment, at any depth, are branches of one node; labelled branches
+whose shares do not differ significantly from the node's pooled share are merged into a wildcard branch (of several
+nodes, that of the deepest segment). A template without labels backs off to the labelled share of the deepest node that
+it is a branch of, then to that of the path prefixes above it, the longest first. Only nodes with labels in at least
+``BRANCHES`` branches count: labels of one branch say nothing of its siblings. A template is rejected if its smoothed
+labelled purity (share of "block" among its labelled URLs) is at least ``PURITY``.
 
 Everything is counted over all rows by (host, template), with map-side partial sums, so a hot host is a few counters.
 
@@ -24,6 +27,8 @@ PURITY = 0.8
 PRIOR = 2.0
 #: Standard errors by which a branch may differ from the pooled share and still be merged.
 SIMILAR = 2.0
+#: Labelled branches that a node has at least, for branches to be merged or judged by it.
+BRANCHES = 2
 
 
 @dataclass(frozen=True)
@@ -73,6 +78,31 @@ def template(path: Column) -> Column:
     return out
 
 
+def branches(counts: DataFrame) -> DataFrame:
+    """host, __template, __n, __b, __wild, __at, __key, __branch: each node that a template is a branch of.
+
+    Where ``__wild``, the node is the template with its literal segment ``__at`` left open; else it is the prefix of
+    ``__at`` segments. Keys are digests, so that a path of many segments stays small.
+    """
+    rest = "array_join(slice(__s, i + 2, size(__s)), '/')"
+    start = "array_join(slice(__s, 1, i), '/')"
+    wild = f"struct(true as wild, i as at, md5(concat('w', i, '/', {start}, '/{{*}}/', {rest})) as key, __s[i] as branch)"
+    above = f"struct(false as wild, i as at, md5(concat('p', i, '/', {start})) as key, __s[i] as branch)"
+    every = "sequence(0, size(__s) - 1)"
+    literal = f"filter({every}, i -> __s[i] <> '' and __s[i] not like '{{%')"
+    found = counts.withColumn("__s", F.split(F.expr("substr(__template, 2)"), "/"))
+    found = found.withColumn("e", F.explode(F.expr(f"concat(transform({literal}, i -> {wild}), transform({every}, i -> {above}))")))
+    return found.select("host", "__template", "__n", "__b", *[F.col(f"e.{c}").alias(f"__{c}") for c in ("wild", "at", "key", "branch")])
+
+
+def node_name() -> Column:
+    """The node ``node`` of ``__template`` as text."""
+    s = "split(substr(__template, 2), '/')"
+    start = f"concat('/', array_join(concat(slice({s}, 1, node.at), array('{{*}}')), '/'))"
+    rest = f"transform(slice({s}, node.at + 2, size({s})), x -> concat('/', x))"
+    return F.expr(f"if(node.wild, concat({start}, array_join({rest}, '')), concat({start}, '*'))")
+
+
 def judge(df: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_id", label: str | None = None) -> DataFrame:
     """key, host, path, rule, verdict, template, purity of every row.
 
@@ -88,25 +118,30 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_i
         action = F.when(F.col("rule") == rule.name, F.lit(rule.action)).otherwise(action)
     rows = rows.withColumn("rule", matched(rules, F.col("host"), F.col("path"))).withColumn("__action", action)
     rows = rows.withColumn("__template", template(F.col("path")))
-    # the node that a template is a branch of: its first literal segment left open
-    rows = rows.withColumn("__node", F.regexp_replace(F.col("__template"), r"^((?:/\{[a-z]+\}[^/]*)*)/[^/{]+", "$1/{*}"))
     labelled = F.coalesce("__label", "__action") if label is None else F.col("__label")
-    counts = rows.where(F.col("host") != "").groupBy("host", "__template", "__node").agg(
+    counts = rows.where(F.col("host") != "").groupBy("host", "__template").agg(
         F.count(labelled).alias("__n"), F.sum(F.when(labelled == "block", 1).otherwise(0)).alias("__b")
     )
-    nodes = counts.groupBy("host", "__node").agg(
-        F.sum("__n").alias("__nn"), F.sum("__b").alias("__nb"), F.count(F.lit(1)).alias("__branches")
-    )
-    tree = counts.join(nodes, ["host", "__node"])
-    pooled = F.col("__nb") / F.greatest("__nn", F.lit(1))
+    tree = branches(counts)
+    known = tree.where("__n > 0").groupBy("host", "__key", "__branch", "__wild").agg(F.sum("__n").alias("__n"), F.sum("__b").alias("__b"))
+    nodes = known.groupBy("host", "__key").agg(F.sum("__n").alias("__nn"), F.sum("__b").alias("__nb"), F.count(F.lit(1)).alias("__branches"))
+    nodes = nodes.where(F.col("__branches") >= BRANCHES)
+    pooled = F.col("__nb") / F.col("__nn")
     error = F.sqrt(pooled * (1 - pooled) / F.greatest("__n", F.lit(1)))
-    similar = (F.col("__branches") > 1) & (F.col("__n") > 0) & (F.abs(F.col("__b") / F.greatest("__n", F.lit(1)) - pooled) <= SIMILAR * error + 1e-9)
+    similar = (F.col("__n") > 0) & (F.abs(F.col("__b") / F.greatest("__n", F.lit(1)) - pooled) <= SIMILAR * error + 1e-9)
     # merged branches share one purity: that of all branches that are alike
-    tree = tree.withColumn("template", F.when(similar, F.col("__node")).otherwise(F.col("__template")))
-    shares = tree.groupBy("host", "template").agg(F.sum("__n").alias("__tn"), F.sum("__b").alias("__tb"))
-    tree = tree.select("host", "__template", "template").join(shares, ["host", "template"])
-    purity = (F.col("__tb") + PRIOR / 2) / (F.col("__tn") + PRIOR)
-    tree = tree.select("host", "__template", "template", purity.alias("purity"))
+    alike = known.where("__wild").join(nodes, ["host", "__key"]).where(similar).groupBy("host", "__key")
+    alike = alike.agg(F.sum("__n").alias("__an"), F.sum("__b").alias("__ab"), F.count(F.lit(1)).alias("__alike")).where(F.col("__alike") >= BRANCHES)
+    nodes = nodes.join(alike, ["host", "__key"], "left")
+    merged = F.col("__wild") & F.col("__alike").isNotNull() & similar
+    share = F.when(F.col("__n") > 0, F.struct(F.col("__an").alias("n"), F.col("__ab").alias("b"))).otherwise(F.struct(F.col("__nn").alias("n"), F.col("__nb").alias("b")))
+    judged = tree.join(nodes, ["host", "__key"]).where((F.col("__n") == 0) | merged)
+    judged = judged.groupBy("host", "__template").agg(F.max(F.struct(F.col("__wild").alias("wild"), F.col("__at").alias("at"), share.alias("share"))).alias("node"))
+    tree = counts.join(judged, ["host", "__template"], "left")
+    n, b = F.coalesce("node.share.n", "__n"), F.coalesce("node.share.b", "__b")
+    purity = (b + PRIOR / 2) / (n + PRIOR)
+    name = F.when(F.col("node").isNull(), F.col("__template")).otherwise(node_name())
+    tree = tree.select("host", "__template", name.alias("template"), purity.alias("purity"))
     out = rows.join(tree, ["host", "__template"], "left")
     rejected = F.coalesce(F.col("purity") >= PURITY, F.lit(False))
     verdict = F.coalesce(F.col("__action"), F.when(rejected, F.lit("block")).otherwise(F.lit("allow")))

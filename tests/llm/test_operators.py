@@ -234,6 +234,25 @@ def test_url_filter(spark):
     assert urltree.judge(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_unlabelled_urls_are_judged_by_the_tree_of_rule_labels(spark):
+    rules = [urltree.Rule("block", f"h.x/shop/{s}/") for s in ("pills", "bets", "wins")] + [urltree.Rule("allow", f"h.x/{s}/") for s in ("news", "help")]
+    rules += [urltree.Rule("block", "one.x/de/"), urltree.Rule("block", "two.x/a/"), urltree.Rule("block", "two.x/b/")]
+    paths = {
+        "h.x": [f"shop/{s}/{i}" for s in ("pills", "bets", "wins") for i in range(4)] + [f"{s}/{i}" for s in ("news", "help") for i in range(4)] + ["shop/loans/7", "shop/loans/more/9.html", "blog/7"],
+        "one.x": [f"de/{i}" for i in range(20)] + ["en/7"],
+        "two.x": [f"{s}/{i}" for s in "ab" for i in range(4)] + ["c/7"],
+        "none.x": ["en/7"],
+    }
+    rows = [(f"http://{h}/{p}",) * 2 for h, ps in paths.items() for p in ps]
+    got = {r["page_id"][7:]: r for r in urltree.judge(spark.createDataFrame(rows, "page_id string, url string"), rules).collect()}
+    free = {k: (r["verdict"], r["template"], round(r["purity"], 3)) for k, r in got.items() if r["rule"] is None}
+    assert free == {
+        "h.x/shop/loans/7": ("block", "/shop/{*}/{n}", 0.929), "h.x/shop/loans/more/9.html": ("block", "/shop/{*}*", 0.929), "h.x/blog/7": ("allow", "/{*}/{n}", 0.1),
+        "one.x/en/7": ("allow", "/en/{n}", 0.5), "two.x/c/7": ("block", "/{*}/{n}", 0.9), "none.x/en/7": ("allow", "/en/{n}", 0.5),
+    }
+    assert (got["h.x/shop/bets/1"]["template"], got["h.x/news/1"]["template"], got["one.x/de/1"]["template"]) == ("/shop/{*}/{n}", "/{*}/{n}", "/de/{n}")
+
+
 def test_language_and_quality_held_out(spark, odd):
     sf = "/root/testdata/sf0.01"
     got = queries.op9_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
