@@ -109,6 +109,22 @@ def test_audio(spark, odd):
     assert len(pcm[1]) == 3200 and pcm[2] is None
 
 
+def test_audio_stores_resampled_pcm(spark, odd, monkeypatch):
+    tables = []
+    monkeypatch.setattr(audio, "stored", lambda *a, keep=audio.stored, **k: tables.append(keep(*a, **k)) or tables[-1])
+    rows = audio.media_features(audio.store_text(odd, keep=["doc_id", "text"]), keep=["doc_id", "text"]).collect()
+    assert len(tables) == 2
+    found = {(r["kept"]["doc_id"], r["kept"]["text"]): r for r in spark.read.parquet(*tables[1].inputFiles()).collect()}
+    for r in rows:
+        load = audio.pad((r["text"] or "").encode())
+        pcm, other = (audio.resample(audio.expand(c, load), 8000, 4000) for c in ("mulaw", "alaw"))
+        have = found[r["doc_id"], r["text"]]
+        assert (bytes(have["pcm_mulaw"]), bytes(have["pcm_alaw"])) == (pcm.astype("<i2").tobytes(), other.astype("<i2").tobytes())
+        third = audio.measures(audio.decode_adpcm(np.frombuffer(load, np.uint8)).ravel())
+        digest = hashlib.sha256(have["pcm_mulaw"]).hexdigest()[:16]
+        assert r["feature"] == f"mulaw:{audio.measures(pcm)},pcm={digest};alaw:{audio.measures(other)};adpcm:{third}"
+
+
 def shingle_set(text, width):
     lowered = "".join(c.lower() if c.isascii() else c for c in text or "")
     words = [w for w in "".join("\x20" if c in "\t\n\x0b\x0c\r" else c for c in lowered).split("\x20") if w]
