@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,15 @@ def orphans(present: DataFrame, live: DataFrame) -> DataFrame:
     return present.join(live, "number", "left_anti")
 
 
+def _cell(key: str) -> Column:
+    return (F.col(key).cast("long") / 64).cast("long")
+
+
+def _cells(low: str, high: str) -> Column:
+    """Cells of keys that a range touches, one a row: ranges that meet share one."""
+    return F.explode(F.sequence(_cell(low), _cell(high)))
+
+
 def overlaps(files: DataFrame) -> DataFrame:
     """Pairs (upper level, next level) whose key ranges meet.
 
@@ -26,30 +35,80 @@ def overlaps(files: DataFrame) -> DataFrame:
     """
     a = files.select(F.col("number").alias("upper"), F.col("level").alias("lv"), F.col("min_key").alias("a_min"), F.col("max_key").alias("a_max"))
     b = files.select(F.col("number").alias("lower"), (F.col("level") - 1).alias("lv"), F.col("min_key").alias("b_min"), F.col("max_key").alias("b_max"))
-    span = lambda lo, hi: F.explode(F.sequence((F.col(lo).cast("long") / 64).cast("long"), (F.col(hi).cast("long") / 64).cast("long")))
-    a, b = a.withColumn("cell", span("a_min", "a_max")), b.withColumn("cell", span("b_min", "b_max"))
+    a, b = a.withColumn("cell", _cells("a_min", "a_max")), b.withColumn("cell", _cells("b_min", "b_max"))
     both = a.join(b, ["lv", "cell"]).where("a_min <= b_max and b_min <= a_max")
-    first = F.greatest((F.col("a_min").cast("long") / 64).cast("long"), (F.col("b_min").cast("long") / 64).cast("long"))
+    first = F.greatest(_cell("a_min"), _cell("b_min"))
     return both.where(F.col("cell") == first).select("upper", "lower", F.col("lv").alias("level"))
 
 
 def bottom_most(files: DataFrame) -> DataFrame:
-    """number, level, bottom_most: whether no deeper level has keys in the file's range."""
-    deeper = files.groupBy("level").agg(F.min("min_key").alias("lo"), F.max("max_key").alias("hi"))  # a row a level
-    deeper = F.broadcast(deeper.select(F.col("level").alias("dl"), "lo", "hi"))
-    hit = files.join(deeper, (F.col("dl") > F.col("level")) & (F.col("lo") <= F.col("max_key")) & (F.col("hi") >= F.col("min_key")), "left")
-    return hit.groupBy("number", "level").agg((F.count("dl") == 0).alias("bottom_most"))
+    """number, level, bottom_most: whether no file of any deeper level has a range that meets the file's.
+
+    Like ``overlaps``, an equality join on cells.
+    """
+    upper = files.select("number", F.col("level").alias("lv"), F.col("min_key").alias("a_min"), F.col("max_key").alias("a_max"), _cells("min_key", "max_key").alias("cell"))
+    deeper = files.select(F.col("level").alias("dl"), F.col("min_key").alias("b_min"), F.col("max_key").alias("b_max"), _cells("min_key", "max_key").alias("cell")).distinct()
+    meets = (F.col("dl") > F.col("lv")) & (F.col("a_min") <= F.col("b_max")) & (F.col("b_min") <= F.col("a_max"))
+    covered = upper.join(deeper, (upper["cell"] == deeper["cell"]) & meets, "left_semi").select("number").distinct().withColumn("covered", F.lit(True))
+    return files.join(covered, "number", "left").select("number", "level", F.col("covered").isNull().alias("bottom_most"))
 
 
-def pick_leveled(files: DataFrame, trigger: int) -> DataFrame:
-    """The level to compact (0 first, if it has ``trigger`` files; else the first level past its limit) and its file count."""
-    counts = files.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-    full = counts.where(F.col("n") >= F.lit(trigger) * F.pow(F.lit(10.0), F.col("level")).cast("long"))
-    return full.orderBy("level").limit(1)
+def pick_leveled(files: DataFrame, trigger: int, budget: int = 4) -> DataFrame:
+    """number, level, output_level, bottom_most of the files that the next leveled compaction merges; none if it is idle.
+
+    Level 0 is drained once it has ``trigger`` files; else the first level with more than ``budget`` files promotes the one
+    of least ``min_key`` (ties: the least number). Files of the next level that meet the combined range of those go with
+    them. The merge is bottom-most if no file below its output meets the range of all its inputs. Inputs are newest first:
+    by level, then by falling number.
+    """
+    counts = files.groupBy("level").agg(F.count(F.lit(1)).alias("n"))  # a row a level
+    full = counts.where(((F.col("level") == 0) & (F.col("n") >= trigger)) | ((F.col("level") > 0) & (F.col("n") > budget)))
+    at = F.broadcast(full.agg(F.min("level").alias("at")))  # one row, null if idle
+    known = files.crossJoin(at).where("at is not null")
+    first = known.where("level = at").agg(F.min(F.struct("min_key", "number")).alias("first"))  # one row
+    known = known.crossJoin(F.broadcast(first)).withColumn("primary", F.expr("level = at and (at = 0 or number = first.number)"))
+
+    def hull(rows: DataFrame, low: str, high: str) -> DataFrame:
+        return F.broadcast(rows.agg(F.min("min_key").alias(low), F.max("max_key").alias(high)))  # one row
+
+    known = known.crossJoin(hull(known.where("primary"), "p_min", "p_max"))
+    inputs = known.where("primary or (level = at + 1 and min_key <= p_max and p_min <= max_key)")
+    below = known.where("level > at + 1").crossJoin(hull(inputs, "m_min", "m_max")).where("min_key <= m_max and m_min <= max_key")
+    none = F.broadcast(below.agg((F.count(F.lit(1)) == 0).alias("bottom_most")))  # one row
+    return inputs.crossJoin(none).select("number", "level", (F.col("at") + 1).alias("output_level"), "bottom_most")
 
 
 def pick_tiered(files: DataFrame, min_run: int, ratio: float = 2.0) -> DataFrame:
-    """Files of similar size: size classes by powers of ``ratio`` with at least ``min_run`` members."""
-    tier = F.floor(F.log("bytes") / F.log(F.lit(ratio)))
-    w = Window.partitionBy("tier")
-    return files.withColumn("tier", tier).withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") >= min_run).drop("n")
+    """number, bytes, output_level (0), bottom_most of the files that the next size-tiered compaction merges; none if it is idle.
+
+    In order of size (ties: number), a bucket grows while the next file is within ``ratio`` of its average, rounded down, or
+    that is 0; the first bucket that ends with ``min_run`` files is merged. It is bottom-most if it holds all files. The walk
+    reads one row for each size on the driver, a few at a time; files of one size are taken together.
+    """
+    start = end = None  # (bytes, place among the files of that size)
+    n = total = files_seen = 0
+    done = False
+    for size, count in files.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).orderBy("bytes").toLocalIterator():
+        files_seen += count
+        place = 0
+        while place < count and not done:
+            average = total // n if n else size
+            if n and average and not average / ratio <= size <= average * ratio:
+                if n >= min_run:
+                    done = True
+                    break
+                n = total = 0
+            if not n:
+                start = (size, place)
+            # once the average is positive, more files of the size that it just took in stay similar
+            take = count - place if size == 0 or (n == 0 or average) else 1
+            n, total, place = n + take, total + take * size, place + take
+            end = (size, place - 1)
+    if n < min_run:
+        return files.select("number", "bytes", F.lit(0).alias("output_level"), F.lit(False).alias("bottom_most")).limit(0)
+    chosen = files.where((F.col("bytes") >= start[0]) & (F.col("bytes") <= end[0]))
+    edge = Window.partitionBy("bytes").orderBy("number")
+    if chosen.count() != n:  # a bucket that begins or ends among files of one size
+        chosen = chosen.withColumn("place", F.row_number().over(edge) - 1)
+        chosen = chosen.where(((F.col("bytes") > start[0]) | (F.col("place") >= start[1])) & ((F.col("bytes") < end[0]) | (F.col("place") <= end[1])))
+    return chosen.select("number", "bytes", F.lit(0).alias("output_level"), F.lit(n == files_seen).alias("bottom_most"))

@@ -51,6 +51,62 @@ def test_files_are_all_orders_and_overlap_as_by_brute_force(spark, tmp_path):
     assert sorted(found) == sorted((a[0], b[0], a[1]) for a in RANGES for b in RANGES if b[1] == a[1] + 1 and meets(a, b))
 
 
+def test_bottom_most_looks_at_each_deeper_file(spark):
+    gap = [(1, 0, "00000100", "00000110"), (2, 1, "00000000", "00000010"), (3, 1, "00000900", "00000910"), (4, 3, "00000905", "00000906")]
+    for files in (gap, RANGES):
+        found = {r["number"]: r["bottom_most"] for r in manifest.bottom_most(spark.createDataFrame(files, schema.FILE)).collect()}
+        assert found == {a[0]: not any(b[1] > a[1] and meets(a, b) for b in files) for a in files}
+
+
+def leveled(files, trigger, budget):
+    """The reference's rule, file by file: inputs, output level, bottom-most."""
+    first = [f for f in files if f[1] == 0]
+    level = 0
+    if len(first) < trigger:
+        over = [n for n in range(1, max(f[1] for f in files) + 1) if sum(f[1] == n for f in files) > budget]
+        if not over:
+            return None
+        level = over[0]
+        first = [min((f for f in files if f[1] == level), key=lambda f: (f[2], f[0]))]
+    hull = lambda fs: (0, 0, min(f[2] for f in fs), max(f[3] for f in fs))
+    inputs = first + [f for f in files if f[1] == level + 1 and meets(f, hull(first))]
+    below = [f for f in files if f[1] > level + 1 and meets(f, hull(inputs))]
+    return sorted(f[0] for f in inputs), level + 1, not below
+
+
+def test_leveled_pick_is_the_references(spark):
+    k = lambda number, level, low, high: (number, level, f"{low:08d}", f"{high:08d}")
+    one = [k(10, 1, 10, 30), k(11, 1, 40, 60), k(12, 1, 70, 90), k(20, 2, 20, 20), k(21, 2, 260, 260)]
+    deep = [k(10, 1, 10, 30), k(11, 1, 40, 60), k(30, 3, 20, 20)]
+    for files, trigger, budget in ((one, 100, 2), (deep, 100, 1), (one, 100, 4), ([k(i, 0, i, i) for i in range(4)], 4, 4), (RANGES, 4, 4), (RANGES, 31, 4), (RANGES, 31, 30)):
+        rows = manifest.pick_leveled(spark.createDataFrame(files, schema.FILE), trigger, budget).collect()
+        found = (sorted(r["number"] for r in rows), rows[0]["output_level"], rows[0]["bottom_most"]) if rows else None
+        assert found == leveled(files, trigger, budget)
+
+
+def tiered(files, min_run, ratio):
+    bucket, total = [], 0
+    for number, size in sorted(files, key=lambda f: (f[1], f[0])):
+        average = total // len(bucket) if bucket else size
+        if bucket and average and not average / ratio <= size <= average * ratio:
+            if len(bucket) >= min_run:
+                break
+            bucket, total = [], 0
+        bucket.append(number)
+        total += size
+    return (sorted(bucket), len(bucket) == len(files)) if len(bucket) >= min_run else None
+
+
+def test_tiered_pick_is_the_references(spark):
+    sizes = ([10, 11, 12, 400], [0, 0, 0], [0, 0, 5, 5, 5, 5, 90], [0, 0, 0, 1, 1, 1, 1, 7, 7, 7, 7, 30], [1, 9, 9, 9, 10, 12, 14, 17, 20, 70], [1, 5, 30], [100] * 7 + [260] * 5)
+    for some in sizes:
+        files = [(3 * i % 31, size) for i, size in enumerate(some)]
+        for min_run in (3, 4):
+            rows = manifest.pick_tiered(spark.createDataFrame(files, "number long, bytes long"), min_run, 1.5).collect()
+            found = (sorted(r["number"] for r in rows), rows[0]["bottom_most"]) if rows else None
+            assert found == tiered(files, min_run, 1.5), (some, min_run)
+
+
 def test_commit_and_conflicts(spark):
     m = spark.createDataFrame([("g", n, x) for n, x in enumerate([9, 7, 5, 3, 1])], "g string, node int, match long")
     assert raft.commit_index(m, "g", 3).first()["commit"] == 5
