@@ -4,8 +4,10 @@ Texts and benchmark items are lower-cased words of letters and digits. A documen
 with an item of L words gets windows of L words, laid where the shared shingle puts the item; a window that is alike
 must share one, so none is missed. Windows and items have 64-bit SimHash fingerprints of their words. Fingerprints are
 cut into ``RADIUS`` + 1 blocks; two that differ in at most ``RADIUS`` bits agree in one block at least, so joining on the
-blocks finds every item of a window's size within the radius. Those candidates are verified by the exact weighted
-similarity of their shingles: sum of the lesser counts over sum of the greater counts, at least ``percent``.
+blocks finds every item of a window's size within the radius. No radius is sure to hold every pair that is alike, so
+windows also meet the items of their size that share one of the item's rarest shingles: as many of these as leave the others
+too few to reach ``percent``. A pair that is alike shares one at least. The candidates of both ways are verified by the exact
+weighted similarity of their shingles: sum of the lesser counts over sum of the greater counts, at least ``percent``.
 
 A one-word change in a short item moves about one bit in seven, so the radius is wide; windows are few by then and
 items of exactly their size fewer.
@@ -17,7 +19,7 @@ reported as null. Empty tables give an empty table. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -74,6 +76,22 @@ def similarity() -> Column:
     return F.expr(f"{both} / (size(s) + size(t) - {both})")
 
 
+def rare_shingles(marks: DataFrame, percent: int) -> DataFrame:
+    """item_id, length, t, g, h: of each item, shingles of which a window of its length that is alike has one at least.
+
+    A window that is alike has ``percent`` of the item's shingles at least, repeats counted, also where the document is shorter
+    than the item. Shingles are taken from the rarest (over all items of the length) until fewer than that are left.
+    """
+    each = marks.select("item_id", "length", "t", F.col("f").alias("g")).distinct()
+    each = each.select("*", F.explode(F.array_distinct("t")).alias("h"))
+    each = each.withColumn("k", F.expr("size(filter(t, x -> x = h))"))
+    often = each.groupBy("length", "h").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("item_id", "t").orderBy("often", "h").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.sum("k").over(order), F.lit(0))
+    each = each.join(often, ["length", "h"]).withColumn("left", F.size("t") - taken)
+    return each.where(F.col("left") * 100 >= F.size("t") * percent).select("item_id", "length", "t", "g", "h")
+
+
 def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     rows = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), words(F.col(f"`{text}`")).alias("w")).where("size(w) > 0")
     return rows.select("item_id", "w", F.size("w").alias("length"), F.least(F.size("w"), F.lit(WIDTH)).alias("width"))
@@ -112,6 +130,10 @@ def leaks(
     close = left.join(right, ["length", "block", "bits"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS)
     # a pair that agrees in several blocks is verified in the first of them only
     close = close.where(F.expr(f"({first_block()}) = block"))
+    rare = rare_shingles(marks, percent)
+    sharing = windows.select("*", F.explode(F.array_distinct("s")).alias("h")).join(rare, ["length", "h"])
+    far = sharing.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) > RADIUS)
+    close = close.select("doc_id", "item_id", "start", "s", "t").union(far.select("doc_id", "item_id", "start", "s", "t"))
     verified = close.withColumn("similarity", similarity()).where(F.col("similarity") * 100 >= percent)
     best = verified.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("less"))).alias("best"))
     return best.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias("item_id"), "best.similarity", (-F.col("best.less")).alias("start"))

@@ -193,6 +193,27 @@ def test_decontaminate(spark, odd):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_loses_no_pair_beyond_the_radius(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items, docs = [], []
+    for i in range(12):
+        w = [word() for _ in range(20 + i)]
+        if i % 3 == 0:
+            w[5:9] = w[10:14] = ["again"] * 4  # repeats
+        items.append((i, " ".join(w)))
+        docs += [(2 * i, " ".join([word() for _ in range(7)] + w[:-1] + [word()])), (2 * i + 1, " ".join([word()] + w[1:] + [word() for _ in range(9)]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expect = {(d, d // 2) for d, _ in docs}
+    docs += [(24, " ".join(items[10][1].split()[:-4])), (25, None)]  # a document shorter than the item
+    expect.add((24, 10))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), bench.union(bench.where("item_id < 3"))
+    for name, value in (("RADIUS", 1), ("_CUTS", [0, 32, 64])):  # now every changed pair is beyond it
+        monkeypatch.setattr(decontaminate, name, value)
+    found = decontaminate.leaks(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == expect and all(0.8 <= r["similarity"] < 1 for r in found)
+
+
 def test_warc(spark, tmp_path):
     big = "x" * 300_000
     pages = [(3, "http://a/b c", big), (1, "http://é/", big), (2, None, big), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (None, "u", big), (7, "u", "")]
