@@ -58,6 +58,19 @@ def stored(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which ``spread_join`` broadcasts.
+BROADCAST_ROWS = 200_000
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equality join for keys of which one may hold a third of ``big``; ``small`` is stored and has few rows a key.
+
+    A small side within ``BROADCAST_ROWS`` is broadcast, so the big one stays where it is. Beyond that both sides are dealt
+    straight from tables, so adaptive execution can split a hot partition of the big side.
+    """
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
@@ -100,6 +113,8 @@ def map_text(
     ``make`` builds the batch function once in each task. Rows keep their partition: no shuffle.
     """
     names = df.columns if keep is None else list(keep)
+    if clash := {f.name.lower() for f in fields} & {n.lower() for n in names}:
+        raise ValueError(f"columns {sorted(clash)} exist already: rename them or leave them out of keep")
     source = df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").alias("__rf_text"))
     schema = T.StructType([*source.schema.fields[:-1], *fields])
     out_names = [f.name for f in schema.fields]

@@ -119,20 +119,16 @@ WITH d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coale
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 items AS (SELECT item_id, w, len(w) AS length FROM b WHERE len(w) >= 5),
 entries AS (SELECT item_id, length, unnest(range(1, length - 3)) AS q, w FROM items),
-eg AS (SELECT length, q, concat_ws(' ', w[q], w[q + 1], w[q + 2], w[q + 3], w[q + 4]) AS g FROM entries),
+ec AS (SELECT item_id, length, concat_ws(' ', w[q], w[q + 1], w[q + 2], w[q + 3], w[q + 4]) AS g, count(*) AS k FROM entries GROUP BY ALL),
 dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5),
-dg AS (SELECT doc_id, len(w) AS n, p, concat_ws(' ', w[p], w[p + 1], w[p + 2], w[p + 3], w[p + 4]) AS g FROM dp),
-places AS (SELECT DISTINCT doc_id, length, greatest(0, least(p - q, n - length)) AS start FROM dg JOIN eg USING (g)),
-windows AS (SELECT doc_id, length, start, w[start + 1 : start + length] AS w FROM places JOIN d USING (doc_id)),
-ws AS (SELECT doc_id, length, start, unnest(list_transform(range(1, len(w) - 3), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]))) AS g FROM windows),
-wc AS (SELECT doc_id, length, start, g, count(*) AS k FROM ws GROUP BY ALL),
-wn AS (SELECT doc_id, length, start, sum(k) AS n FROM wc GROUP BY ALL),
-es AS (SELECT item_id, length, concat_ws(' ', w[q], w[q + 1], w[q + 2], w[q + 3], w[q + 4]) AS g FROM entries),
-ec AS (SELECT item_id, length, g, count(*) AS k FROM es GROUP BY ALL),
-en AS (SELECT item_id, sum(k) AS n FROM ec GROUP BY ALL),
-meets AS (SELECT doc_id, item_id, length, start, sum(least(wc.k, ec.k)) AS i FROM wc JOIN ec USING (length, g) GROUP BY ALL),
-sim AS (SELECT doc_id, item_id, start, i::DOUBLE / (wn.n + en.n - i)::DOUBLE AS similarity FROM meets JOIN wn USING (doc_id, length, start) JOIN en USING (item_id)),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM sim WHERE 100 * similarity >= 80)
+dg AS (SELECT doc_id, len(w) AS n, p - 1 AS p, concat_ws(' ', w[p], w[p + 1], w[p + 2], w[p + 3], w[p + 4]) AS g FROM dp),
+hits AS (SELECT doc_id, n, p, g, item_id, length, k FROM dg JOIN ec USING (g)),
+-- every window of the item's length that has the shared shingle: its first word, from 0
+placed AS (SELECT doc_id, item_id, n, length, p, g, k, unnest(range(greatest(0, least(n - length, p - length + 5)), greatest(0, least(n - length, p)) + 1)) AS start FROM hits),
+meets AS (SELECT doc_id, item_id, n, length, start, g, k, count(DISTINCT p) AS c FROM placed WHERE p BETWEEN start AND start + length - 5 GROUP BY ALL),
+met AS (SELECT doc_id, item_id, start, least(n, length) - 4 AS wn, length - 4 AS en, sum(least(k, c)) AS i FROM meets GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, start, i::DOUBLE / (wn + en - i)::DOUBLE AS similarity FROM met),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start DESC) AS r FROM sim WHERE 100 * similarity >= 80)
 SELECT doc_id, item_id, similarity, start::INTEGER AS start FROM best WHERE r = 1
 """
 OP6_SQL = """

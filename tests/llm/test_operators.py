@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -193,25 +194,77 @@ def test_decontaminate(spark, odd):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(odd, bench.limit(0)).count() == 0
 
 
-def test_decontaminate_loses_no_pair_beyond_the_radius(spark, monkeypatch):
+def best_windows(text, item, percent=80):
+    """(similarity, start) of the best window of the item's length, the last one of equals, by trying all."""
+    w, v = text.split(), item.split()
+    width = min(5, len(v))
+    grams = lambda x: Counter(tuple(x[i : i + width]) for i in range(len(x) - width + 1))
+    t, best = grams(v), None
+    for start in range(max(1, len(w) - len(v) + 1)):
+        g = grams(w[start : start + len(v)])
+        both = sum((g & t).values())
+        s = both / max(1, sum((g | t).values()))
+        if s * 100 >= percent:
+            best = max(best or (0, 0), (s, start))
+    return best
+
+
+def altered(rng, word, n):
+    """An item of n words and what documents make of it: moved, cut, changed, swapped halves, added words, repeats."""
+    w = [word() for _ in range(n)]
+    if n % 3 == 0:
+        w[2:4] = w[6:8] = ["again"] * 2
+    noise = [word() for _ in range(rng.randrange(9))]
+    k = rng.randrange(1, n - 1)
+    made = [noise + w + noise, noise + w[n // 2 :] + w[: n // 2], noise + w[1:] + [word()], [word()] + w[:-2] + noise, w[:k] + [word()] + w[k:] + noise]
+    made += [noise + w[:k] + [word()] + w[k + 1 :], w[: n - n // 12], noise + w + w, w[: n // 2] + noise + w[n // 2 :], noise + w[:k] + w[k + 1 :] + noise]
+    return " ".join(w), [" ".join(x) for x in made]
+
+
+def test_decontaminate_equals_all_windows(spark, monkeypatch):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     items, docs = [], []
-    for i in range(12):
-        w = [word() for _ in range(20 + i)]
-        if i % 3 == 0:
-            w[5:9] = w[10:14] = ["again"] * 4  # repeats
-        items.append((i, " ".join(w)))
-        docs += [(2 * i, " ".join([word() for _ in range(7)] + w[:-1] + [word()])), (2 * i + 1, " ".join([word()] + w[1:] + [word() for _ in range(9)]))]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    expect = {(d, d // 2) for d, _ in docs}
-    docs += [(24, " ".join(items[10][1].split()[:-4])), (25, None)]  # a document shorter than the item
-    expect.add((24, 10))
-    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), bench.union(bench.where("item_id < 3"))
-    for name, value in (("RADIUS", 1), ("_CUTS", [0, 32, 64])):  # now every changed pair is beyond it
-        monkeypatch.setattr(decontaminate, name, value)
-    found = decontaminate.leaks(df, bench).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in found} == expect and all(0.8 <= r["similarity"] < 1 for r in found)
+    for i, n in enumerate([3, 5, 9, 14, 15, 18, 21, 25, 30, 33, 36, 40, 47, 51, 59, 100, 140]):
+        item, made = altered(rng, word, n)
+        items.append((i, item))
+        docs += made
+    rows = [(i % 160, t) for i, t in enumerate(docs)] + [(None, docs[0]), (None, "clean words only"), (7, None), (8, ""), (500, docs[60]), (500, docs[60])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).repartition(5)
+    bench = spark.createDataFrame([*items, items[0], (99, items[4][1])], "item_id long, text string")
+    expect = {}
+    for d, t in rows:
+        for i, item in [*items, (99, items[4][1])]:
+            if t and (best := best_windows(t, item)):
+                expect[d, i] = max(expect.get((d, i), best), best)
+    assert len(expect) > 60
+    for radius in (decontaminate.RADIUS, 0):  # 0: the rare shingles find whatever is not the same words
+        monkeypatch.setattr(decontaminate, "RADIUS", radius)
+        got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in decontaminate.leaks(df, bench).collect()}
+        assert got == expect
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in decontaminate.clean(df, bench).collect())
+    assert kept == sorted((str(d), str(t)) for d, t in rows if not (t and any(best_windows(t, item) for _, item in items)))
+
+
+def test_fingerprints_find_nine_in_ten_alike_windows(spark):
+    """Recall of the SimHash index alone: pairs at the threshold or above within the radius, and every one of those found."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    pairs = []
+    for n in range(14, 60):
+        for _ in range(4):
+            item, made = altered(rng, word, n)
+            for text in made:
+                if best := best_windows(text, item):
+                    pairs.append((item, " ".join(text.split()[best[1] : best[1] + n]), n))
+    rows = spark.createDataFrame(pairs, "item string, doc string, length int")
+    rows = rows.withColumn("w", F.split("item", " ")).withColumn("g", decontaminate.fingerprint()).withColumn("w", F.split("doc", " ")).withColumn("f", decontaminate.fingerprint())
+    rows = rows.withColumn("distance", F.bit_count(F.col("f").bitwiseXOR(F.col("g")))).withColumn("at", decontaminate.first_block())
+    share, near, met = rows.agg(
+        F.avg((F.col("distance") <= decontaminate.RADIUS).cast("int")), F.count_if(F.col("distance") <= decontaminate.RADIUS), F.count_if((F.col("distance") <= decontaminate.RADIUS) & F.col("at").isNotNull())
+    ).first()
+    print("pairs", len(pairs), "within the radius", share)
+    assert share > 0.9 and near == met
 
 
 def test_warc(spark, tmp_path):
