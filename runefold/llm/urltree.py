@@ -4,13 +4,16 @@ For each host, path segments that look variable (numbers, hex strings, dates, lo
 gives templates. Templates that differ in one literal segment, at any depth, are branches of one node; labelled branches
 whose shares do not differ significantly from the node's pooled share are merged into a wildcard branch (of several
 nodes, that of the deepest segment). A template without labels backs off to the labelled share of the deepest node that
-it is a branch of, then to that of the path prefixes above it, the longest first. Only nodes with labels in at least
-``BRANCHES`` branches count: labels of one branch say nothing of its siblings. A template is rejected if its smoothed
+it is a branch of, then to that of the path prefixes above it, the longest first. A host without such nodes backs off to the
+domains above it (of at most ``LABELS`` labels, the longest first, at last all hosts): to the labelled share of the same
+template, if it has a literal segment, among the hosts there. Only nodes with labels in at least ``BRANCHES`` branches
+(segments, or subdomains) count: labels of one branch say nothing of its siblings. A template is rejected if its smoothed
 labelled purity (share of "block" among its labelled URLs) is at least ``PURITY``.
 
 Everything is counted over all rows by (host, template), with map-side partial sums, so a hot host is a few counters.
 
-Defined results: a null URL, or one without ``://``, has an empty host and path, no template and verdict ``allow``.
+Defined results: a null URL, or one without ``://``, has an empty host and path, no template and verdict ``allow``. The longest
+fitting rule wins; of two of one length, the one that comes later by name. Null keys are kept. Very long URLs are read whole.
 Repeated rows count as often as they occur and give repeated rows. An empty table gives an empty table. Other
 columns are ignored.
 """
@@ -22,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread_join, stored
+
 PURITY = 0.8
 #: Unlabelled rows that the smoothing adds to each template, half of them blocked.
 PRIOR = 2.0
@@ -29,6 +34,12 @@ PRIOR = 2.0
 SIMILAR = 2.0
 #: Labelled branches that a node has at least, for branches to be merged or judged by it.
 BRANCHES = 2
+#: Labels of the longest domain over whose hosts templates are pooled.
+LABELS = 3
+#: Kinds of nodes, the nearest last: a path prefix, a template with a segment left open, a template over a domain.
+PREFIX, OPEN, DOMAIN = 0, 1, 2
+#: The level of nodes within a host, above any number of a domain's labels.
+HOST = LABELS + 1
 
 
 @dataclass(frozen=True)
@@ -79,20 +90,24 @@ def template(path: Column) -> Column:
 
 
 def branches(counts: DataFrame) -> DataFrame:
-    """host, __template, __n, __b, __wild, __at, __key, __branch: each node that a template is a branch of.
+    """host, __template, __n, __b, __place, __level, __kind, __at, __key, __branch: each node that a template is a branch of.
 
-    Where ``__wild``, the node is the template with its literal segment ``__at`` left open; else it is the prefix of
-    ``__at`` segments. Keys are digests, so that a path of many segments stays small.
+    Nodes within the host are the template with its literal segment ``__at`` left open and the prefixes of ``__at``
+    segments; above the host, the template in each domain. Keys are digests, so that a path of many segments stays small.
     """
     rest = "array_join(slice(__s, i + 2, size(__s)), '/')"
     start = "array_join(slice(__s, 1, i), '/')"
-    wild = f"struct(true as wild, i as at, md5(concat('w', i, '/', {start}, '/{{*}}/', {rest})) as key, __s[i] as branch)"
-    above = f"struct(false as wild, i as at, md5(concat('p', i, '/', {start})) as key, __s[i] as branch)"
+    within = f"host as place, {HOST} as level"
+    opened = f"struct({within}, {OPEN} as kind, i as at, md5(concat('w', i, '/', size(__s), '/', {start}, '/{{*}}/', {rest})) as key, __s[i] as branch)"
+    above = f"struct({within}, {PREFIX} as kind, i as at, md5(concat('p', i, '/', {start})) as key, __s[i] as branch)"
     every = "sequence(0, size(__s) - 1)"
     literal = f"filter({every}, i -> __s[i] <> '' and __s[i] not like '{{%')"
-    found = counts.withColumn("__s", F.split(F.expr("substr(__template, 2)"), "/"))
-    found = found.withColumn("e", F.explode(F.expr(f"concat(transform({literal}, i -> {wild}), transform({every}, i -> {above}))")))
-    return found.select("host", "__template", "__n", "__b", *[F.col(f"e.{c}").alias(f"__{c}") for c in ("wild", "at", "key", "branch")])
+    domain = "array_join(slice(__l, size(__l) - k + 1, k), '.') as place, k as level"
+    child = "if(k < size(__l), __l[size(__l) - 1 - k], '') as branch"
+    pooled = f"transform(sequence(0, least({LABELS}, size(__l))), k -> struct({domain}, {DOMAIN} as kind, 0 as at, md5(concat('t', __template)) as key, {child}))"
+    found = counts.withColumns({"__s": F.split(F.expr("substr(__template, 2)"), "/"), "__l": F.split("host", "[.]")})
+    found = found.withColumn("e", F.explode(F.expr(f"concat(transform({literal}, i -> {opened}), transform({every}, i -> {above}), if(size({literal}) > 0, {pooled}, array()))")))
+    return found.select("host", "__template", "__n", "__b", *[F.col(f"e.{c}").alias(f"__{c}") for c in ("place", "level", "kind", "at", "key", "branch")])
 
 
 def node_name() -> Column:
@@ -100,7 +115,8 @@ def node_name() -> Column:
     s = "split(substr(__template, 2), '/')"
     start = f"concat('/', array_join(concat(slice({s}, 1, node.at), array('{{*}}')), '/'))"
     rest = f"transform(slice({s}, node.at + 2, size({s})), x -> concat('/', x))"
-    return F.expr(f"if(node.wild, concat({start}, array_join({rest}, '')), concat({start}, '*'))")
+    domain = "concat(if(node.place = '', '*', concat('*.', node.place)), __template)"
+    return F.expr(f"case node.kind when {DOMAIN} then {domain} when {OPEN} then concat({start}, array_join({rest}, '')) else concat({start}, '*') end")
 
 
 def judge(df: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_id", label: str | None = None) -> DataFrame:
@@ -122,27 +138,31 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_i
     counts = rows.where(F.col("host") != "").groupBy("host", "__template").agg(
         F.count(labelled).alias("__n"), F.sum(F.when(labelled == "block", 1).otherwise(0)).alias("__b")
     )
+    counts = stored(counts, "templates")
     tree = branches(counts)
-    known = tree.where("__n > 0").groupBy("host", "__key", "__branch", "__wild").agg(F.sum("__n").alias("__n"), F.sum("__b").alias("__b"))
-    nodes = known.groupBy("host", "__key").agg(F.sum("__n").alias("__nn"), F.sum("__b").alias("__nb"), F.count(F.lit(1)).alias("__branches"))
+    at = ["__place", "__level", "__key"]
+    known = tree.where("__n > 0").groupBy(*at, "__branch", "__kind").agg(F.sum("__n").alias("__n"), F.sum("__b").alias("__b"))
+    nodes = known.groupBy(*at).agg(F.sum("__n").alias("__nn"), F.sum("__b").alias("__nb"), F.count(F.lit(1)).alias("__branches"))
     nodes = nodes.where(F.col("__branches") >= BRANCHES)
     pooled = F.col("__nb") / F.col("__nn")
     error = F.sqrt(pooled * (1 - pooled) / F.greatest("__n", F.lit(1)))
     similar = (F.col("__n") > 0) & (F.abs(F.col("__b") / F.greatest("__n", F.lit(1)) - pooled) <= SIMILAR * error + 1e-9)
     # merged branches share one purity: that of all branches that are alike
-    alike = known.where("__wild").join(nodes, ["host", "__key"]).where(similar).groupBy("host", "__key")
+    alike = known.where(F.col("__kind") == OPEN).join(nodes, at).where(similar).groupBy(*at)
     alike = alike.agg(F.sum("__n").alias("__an"), F.sum("__b").alias("__ab"), F.count(F.lit(1)).alias("__alike")).where(F.col("__alike") >= BRANCHES)
-    nodes = nodes.join(alike, ["host", "__key"], "left")
-    merged = F.col("__wild") & F.col("__alike").isNotNull() & similar
+    nodes = stored(nodes.join(alike, at, "left"), "nodes")
+    merged = (F.col("__kind") == OPEN) & F.col("__alike").isNotNull() & similar
     share = F.when(F.col("__n") > 0, F.struct(F.col("__an").alias("n"), F.col("__ab").alias("b"))).otherwise(F.struct(F.col("__nn").alias("n"), F.col("__nb").alias("b")))
-    judged = tree.join(nodes, ["host", "__key"]).where((F.col("__n") == 0) | merged)
-    judged = judged.groupBy("host", "__template").agg(F.max(F.struct(F.col("__wild").alias("wild"), F.col("__at").alias("at"), share.alias("share"))).alias("node"))
+    asking = tree.where((F.col("__n") == 0) | (F.col("__kind") == OPEN))
+    judged = spread_join(asking, nodes, at).where((F.col("__n") == 0) | merged)
+    named = F.struct(*[F.col(f"__{c}").alias(c) for c in ("level", "kind", "at", "place")], share.alias("share"))
+    judged = judged.groupBy("host", "__template").agg(F.max(named).alias("node"))
     tree = counts.join(judged, ["host", "__template"], "left")
     n, b = F.coalesce("node.share.n", "__n"), F.coalesce("node.share.b", "__b")
     purity = (b + PRIOR / 2) / (n + PRIOR)
     name = F.when(F.col("node").isNull(), F.col("__template")).otherwise(node_name())
-    tree = tree.select("host", "__template", name.alias("template"), purity.alias("purity"))
-    out = rows.join(tree, ["host", "__template"], "left")
+    tree = stored(tree.select("host", "__template", name.alias("template"), purity.alias("purity")), "purities")
+    out = spread_join(rows, tree, ["host", "__template"], "left")
     rejected = F.coalesce(F.col("purity") >= PURITY, F.lit(False))
     verdict = F.coalesce(F.col("__action"), F.when(rejected, F.lit("block")).otherwise(F.lit("allow")))
     return out.select(key, "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -1,10 +1,13 @@
 """The training-data operators against brute force, round trips and held-out labels."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -343,6 +346,99 @@ def test_unlabelled_urls_are_judged_by_the_tree_of_rule_labels(spark):
     assert (got["h.x/shop/bets/1"]["template"], got["h.x/news/1"]["template"], got["one.x/de/1"]["template"]) == ("/shop/{*}/{n}", "/{*}/{n}", "/de/{n}")
 
 
+def shape(segment):
+    """A segment as part of a template, by plain string rules."""
+    found = re.fullmatch(r"(.+?)(\.[A-Za-z][A-Za-z0-9]{0,4})?", segment, re.S)
+    if not found:
+        return segment
+    base, ext = found[1], found[2] or ""
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", base):
+        return "{date}" + ext
+    if base.isdigit():
+        return "{n}" + ext
+    if len(base) >= 8 and re.fullmatch(r"[0-9A-Fa-f-]+", base) and re.search(r"\d", base):
+        return "{hex}" + ext
+    if not set(base) & set(".{}") and (re.search(r"\d", base) or len(base) >= 24):
+        return ("{id}" if re.search(r"\d", base) else "{slug}") + ext
+    return segment
+
+
+def brute_verdicts(pages):
+    """verdict, purity of each (key, host, path, label) by dictionaries of all nodes."""
+    plain = lambda p: "/".join(shape(x) for x in p.split("/"))
+    counts = defaultdict(lambda: [0, 0])
+    for _, host, path, label in pages:
+        c = counts[host, plain(path)]
+        c[0] += label is not None
+        c[1] += label == "block"
+
+    def nodes(host, template):
+        s, names = template[1:].split("/"), host.split(".")
+        for i, x in enumerate(s):
+            if x and not x.startswith("{"):
+                yield (4, 1, i), (host, tuple(s[:i]), tuple(s[i + 1 :])), x
+            yield (4, 0, i), (host, tuple(s[:i])), x
+        if any(x and not x.startswith("{") for x in s):
+            for k in range(min(3, len(names)) + 1):
+                yield (k, 2, 0), (".".join(names[len(names) - k :]), template), names[-k - 1] if k < len(names) else ""
+
+    tree = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+    for (host, template), (n, b) in counts.items():
+        if host and n:
+            for rank, key, branch in nodes(host, template):
+                tree[rank, key][branch][0] += n
+                tree[rank, key][branch][1] += b
+    purity = {}
+    for (host, template), (n, b) in counts.items():
+        best = None
+        for rank, key, branch in nodes(host, template) if host else ():
+            known = tree.get((rank, key), {})
+            if len(known) < 2:
+                continue
+            nn, nb = (sum(v[j] for v in known.values()) for j in (0, 1))
+            p = nb / nn
+            like = {k: v for k, v in known.items() if abs(v[1] / v[0] - p) <= 2 * math.sqrt(p * (1 - p) / v[0]) + 1e-9}
+            if n == 0:
+                best = max(best or (rank, nn, nb), (rank, nn, nb))
+            elif rank[1] == 1 and branch in like and len(like) >= 2:
+                best = max(best or (rank,), (rank, sum(v[0] for v in like.values()), sum(v[1] for v in like.values())))
+        m, c = best[1:] if best else (n, b)
+        purity[host, template] = (c + 1) / (m + 2)
+    return {k: purity[host, plain(path)] if host else None for k, host, path, _ in pages}
+
+
+def test_url_tree_equals_brute_force(spark):
+    rng = random.Random(3)
+    parts = ["news", "shop", "de", "en", "17", "2024-05-06", "a1b2c3d4e5", "x9", "page.html", "5.html", "", "averyveryverylongslugsegment"]
+    hosts = ["a.one.x", "b.one.x", "one.x", "two.x", "deep.a.two.x", "c.y", "z", "m.c.y"]
+    rows = []
+    for i in range(1500):
+        host = rng.choice(hosts)
+        path = "/" + "/".join(rng.choice(parts) for _ in range(rng.randrange(4)))
+        spam = ("shop" in path or "de" in path) != (rng.random() < 0.05)
+        rows.append((i, host, path, None if rng.random() < 0.6 or host == "z" and spam else "block" if spam else "allow"))
+    rows.append((2000, "h", "/" + "/".join(["s"] * 300) + "/7" * 300, None))
+    df = spark.createDataFrame([(k, f"http://{h}{p}", label) for k, h, p, label in [*rows, rows[0]]] + [(None, "http://c.y/de", None)], "page_id long, url string, label string")
+    got = [r for r in urltree.judge(df, [], label="label").collect() if r["page_id"] is not None]
+    expect = brute_verdicts([*rows, rows[0], (-1, "c.y", "/de", None)])
+    assert len(got) == len(rows) + 1 and any(r["verdict"] == "block" for r in got)
+    for r in got:
+        assert abs(r["purity"] - expect[r["page_id"]]) < 1e-9 and r["verdict"] == ("block" if r["purity"] >= 0.8 else "allow"), r
+
+
+def test_url_parts_and_rules_equal_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    sql = f"""WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3 :] ELSE '' END AS rest FROM '{sf}/pages.parquet'),
+    h AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+    r AS (SELECT * FROM (VALUES ('net/', 'net', '/'), ('example.net/en/', 'example.net', '/en/'), ('example.com/de/', 'example.com', '/de/'), ('org/fr/', 'org', '/fr/')) v(rule, dom, pre))
+    SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule FROM h LEFT JOIN r ON (host = dom OR ends_with(host, '.' || dom)) AND starts_with(path, pre) GROUP BY ALL"""
+    expect = duckdb.sql(sql).fetchall()
+    got = queries.op10_url_filter(spark, sf)
+    assert sorted(map(tuple, got.select("page_id", "host", "path", "rule").collect()), key=repr) == sorted(expect, key=repr)
+    free = got.where("rule is null").groupBy("verdict").count().collect()
+    assert {r["verdict"] for r in free} == {"allow", "block"}  # the tree decides URLs without a rule
+
+
 def test_language_and_quality_held_out(spark, odd):
     sf = "/root/testdata/sf0.01"
     got = queries.op9_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
