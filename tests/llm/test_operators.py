@@ -296,19 +296,68 @@ def test_quotes(spark):
         (1, 2, "user", "> second THING, here\nI reply."),
         (1, 3, "user", "> > First thing.\n> I reply.\nDeeper."),
         (1, 4, "user", "> never written\nHm."),
-        (2, 0, "user", None), (2, 1, "user", ">>"), (None, 0, "user", "> First thing."), (1, 2, "user", "> second thing here\nAgain."),
+        (1, 5, "user", "> also unknown\n>> Unrelated.\nPast it."),
+        (2, 0, "user", None), (2, 1, "user", ">>"), (None, 0, "user", "> First thing."), (1, 2, "user", "> second thing here\nAgain."), (1, None, "user", "> First thing."),
+        (3, 0, "a", "same line\nmine"), (3, 1, "b", "same line\nother"), (3, 2, "c", "> same line\nties go to the earliest"), (3, 3, "c", "> mine\n> other\nas long as each othe"),
     ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("thread", F.lit("clash"))
-    got = [(r["conv_id"], r["turn"], r["text"], r["quote_depth"], r["reply_to"], r["thread"]) for r in quotes.ordered(quotes.conversations(df)).collect()]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("thread", F.lit("clash")).repartition(3)
+    got = [(r["conv_id"], r["turn"], r["text"], r["quote_depth"], r["reply_to"], r["reply_level"], r["thread"], r["position"]) for r in quotes.ordered(quotes.conversations(df)).collect()]
     assert sorted(got, key=repr) == sorted(
         [
-            (1, 0, "First thing.\nSecond thing here.", 0, None, 0), (1, 1, "Unrelated.", 0, None, 1), (1, 2, "I reply.", 1, 0, 0), (1, 2, "Again.", 1, 0, 0),
-            (1, 3, "Deeper.", 2, 2, 0), (1, 4, "Hm.", 1, None, 4), (2, 0, "", 0, None, 0), (2, 1, "", 2, None, 1), (None, 0, "", 1, None, 0),
+            (1, 0, "First thing.\nSecond thing here.", 0, None, None, 0, 0), (1, 2, "Again.", 1, 0, 1, 0, 1), (1, 2, "I reply.", 1, 0, 1, 0, 2),
+            (1, 3, "Deeper.", 2, 2, 1, 0, 3), (1, 1, "Unrelated.", 0, None, None, 1, 4), (1, 5, "Past it.", 2, 1, 2, 1, 5), (1, 4, "Hm.", 1, None, None, 4, 6),
+            (2, 0, "", 0, None, None, 0, 0), (2, 1, "", 2, None, None, 1, 1), (None, 0, "", 1, None, None, 0, None), (1, None, "", 1, None, None, None, None),
+            (3, 0, "same line\nmine", 0, None, None, 0, 0), (3, 1, "same line\nother", 0, None, None, 1, 2), (3, 2, "ties go to the earliest", 1, 0, 1, 0, 1), (3, 3, "as long as each othe", 1, 1, 1, 1, 3),
         ], key=repr,
     )
     assert quotes.conversations(df.limit(0)).count() == 0
 
 
+def quoting(rng, texts):
+    """Messages of one conversation, each with the earlier one that it answers: quoted with what that one quotes, to three levels."""
+    lines, parents = [], []
+    for i, text in enumerate(texts):
+        body = [(0, x) for x in text.split("\n")]
+        parent = rng.randrange(i) if i and rng.random() < 0.8 else None
+        edited = False
+        if parent is not None:
+            quoted = [(level + 1, x) for level, x in lines[parent] if level < 3]
+            edited = rng.random() < 0.2 and any(level == 2 for level, _ in quoted)
+            if edited:  # what it answers was rewritten, so only deeper levels are known
+                quoted = [(level, f"rewritten {i} {j}" if level == 1 else x) for j, (level, x) in enumerate(quoted)]
+            body = quoted + body
+        lines.append(body)
+        parents.append(parents[parent] if edited else parent)
+    return ["\n".join((">" * level + " " + x) if level else x for level, x in body) for body in lines], parents
+
+
+def test_quotes_link_every_level_of_a_quoting_corpus(spark):
+    rng = random.Random(6)
+    rows, expect, own = [], {}, {}
+    table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").orderBy("conv_id", "turn").collect()
+    chats = defaultdict(list)
+    for r in table:
+        chats[r["conv_id"] % 40].append(r["text"])
+    for c, texts in chats.items():
+        texts = [f"message {c} {i}\n{t}" for i, t in enumerate(texts)]
+        made, parents = quoting(rng, texts)
+        for t, (text, parent) in enumerate(zip(made, parents)):
+            rows.append((c, t, "user", text))
+            expect[c, t], own[c, t] = parent, texts[t]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(df).collect()}
+    assert len(got) == len(rows) and any(r["reply_level"] == 2 for r in got.values())
+    hit = sum(got[k]["reply_to"] == parent for k, parent in expect.items())
+    print("quoting corpus", len(rows), "linked as made", hit)
+    assert hit == len(rows)
+    for c in chats:
+        mine = sorted((r["position"], k[1]) for k, r in got.items() if k[0] == c)
+        assert [p for p, _ in mine] == list(range(len(mine)))
+        place = {t: p for p, t in mine}
+        assert all(expect[c, t] is None or place[expect[c, t]] < place[t] for t in place)
+    assert all(got[k]["text"] == own[k].strip("\n") for k in got)
+
+
 def test_url_filter(spark):
     urls = [
         None, "nothing", "HTTP://A.Net/x?q", "http://a.net", "http://Example.NET/en/1#t", "http://b.example.net/fr/", "http://example.com/de/5", "http://notexample.com/de/5",
