@@ -108,25 +108,32 @@ def test_audio(spark, odd):
     for r in rows:
         load = audio.pad((r["text"] or "").encode())
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(load), hashlib.sha256(load).hexdigest(), zlib.crc32(load[-64:]))
-    media = spark.createDataFrame([(1, bytearray(audio.wrap("alaw", b"\x2a" * 800))), (2, None)], "id int, media binary")
+    files = [(1, bytearray(audio.wrap("alaw", b"\x2a" * 800))), (2, None), (3, bytearray(audio.wrap("adpcm", noise[:32] * 2, block=32))), (4, bytearray(audio.wrap("adpcm", noise, block=64)))]
+    media = spark.createDataFrame(files, "id int, media binary").coalesce(1)
+    found = {r["id"]: r for r in audio.media_features(media, keep=["id"], rate=16000).collect()}
+    assert found[2]["feature"] is None and found[2]["payload_bytes"] is None and found[3]["codec"] == "adpcm"
     pcm = {r["id"]: r["pcm"] for r in audio.to_pcm(media, 16000).collect()}
-    assert len(pcm[1]) == 3200 and pcm[2] is None
+    assert len(pcm[1]) == 3200 and pcm[2] is None and len(pcm[3]) == 2 * 57 * 4 and len(pcm[4]) == 20 * 121 * 4
+    with pytest.raises(ValueError):
+        audio.store_text(odd.withColumnRenamed("score", "media"))
+    assert audio.media_features(audio.store_text(odd.limit(0), keep=["doc_id"])).count() == 0
 
 
 def test_audio_stores_resampled_pcm(spark, odd, monkeypatch):
     tables = []
     monkeypatch.setattr(audio, "stored", lambda *a, keep=audio.stored, **k: tables.append(keep(*a, **k)) or tables[-1])
-    rows = audio.media_features(audio.store_text(odd, keep=["doc_id", "text"]), keep=["doc_id", "text"]).collect()
-    assert len(tables) == 2
-    found = {(r["kept"]["doc_id"], r["kept"]["text"]): r for r in spark.read.parquet(*tables[1].inputFiles()).collect()}
+    rows = audio.media_features(audio.store_text(odd, keep=["doc_id", "text"]), keep=["doc_id", "text"], rate=2000).collect()
+    assert len(tables) == 2 and {r["codec"] for r in rows} == {"mulaw", "alaw", "adpcm"}
+    found = {(r["doc_id"], r["text"]): r for r in spark.read.parquet(*tables[1].inputFiles()).collect()}
     for r in rows:
         load = audio.pad((r["text"] or "").encode())
-        pcm, other = (audio.resample(audio.expand(c, load), 8000, 4000) for c in ("mulaw", "alaw"))
-        have = found[r["doc_id"], r["text"]]
-        assert (bytes(have["pcm_mulaw"]), bytes(have["pcm_alaw"])) == (pcm.astype("<i2").tobytes(), other.astype("<i2").tobytes())
-        third = audio.measures(audio.decode_adpcm(np.frombuffer(load, np.uint8)).ravel())
-        digest = hashlib.sha256(have["pcm_mulaw"]).hexdigest()[:16]
-        assert r["feature"] == f"mulaw:{audio.measures(pcm)},pcm={digest};alaw:{audio.measures(other)};adpcm:{third}"
+        assert r["codec"] == audio.codec_of(load)
+        x = audio.expand(r["codec"], load).astype(float)
+        taps = audio.filter_taps(1, 4)
+        pcm = np.clip(np.rint(np.convolve(x, taps)[len(taps) // 2 :][: len(x) : 4]), -32768, 32767).astype("<i2")
+        have = np.frombuffer(found[r["doc_id"], r["text"]]["pcm"], "<i2")
+        assert len(have) == len(pcm) and np.abs(have.astype(int) - pcm).max() <= 1  # sums in another order may round otherwise
+        assert r["feature"] == f"{r['codec']}:rate=2000,{audio.measures(have)},pcm={hashlib.sha256(have.tobytes()).hexdigest()[:16]}"
 
 
 def shingle_set(text, width):
