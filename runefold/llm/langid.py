@@ -150,7 +150,7 @@ def train(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     if not sizes:
         return Model([], np.zeros((0, BUCKETS)), idf, np.zeros((0, BANDS)))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
-    pick = (F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) / (1 << 20)) < share[F.col("lang")]
+    pick = (F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 20)) / (1 << 20)) < share[F.col("lang")]
     names = sorted(sizes)
 
     def features(batches):
@@ -168,7 +168,7 @@ def train(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
                 )
 
     langs, centroids, far = [], [], []
-    sampled = rows.where(pick).select("text", "lang").mapInArrow(features, "lang string, n long, cells binary, tf binary")
+    sampled = rows.where(pick).select("text", "lang").mapInArrow(features, "lang string, n long, cells binary, tf binary").distinct()
     got = sorted(((r["lang"], r["n"], bytes(r["cells"]), bytes(r["tf"])) for r in sampled.collect()), key=lambda r: (r[0], r[1], r[2], r[3]))
     for name in names:
         own = [r for r in got if r[0] == name and r[1] > 0]

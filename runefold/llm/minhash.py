@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, map_text, scratch, stored, string_buffer
+from .common import blocks, map_text, scratch, spread_join, stored, string_buffer
 
 BINS = 256
 ROWS = 5
@@ -375,11 +375,11 @@ def _groups(df: DataFrame, width: int, percent: int, text: str, doc_id: str) ->
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     rows = stored(signed(docs, width, "text", ["doc"]), "signatures")
     usable = rows.where("doc is not null and n_shingles > 0")
-    # one representative of each distinct set
-    classes = usable.groupBy("set_key").agg(F.min("doc").alias("rep"))
-    reps = usable.join(classes.withColumnRenamed("rep", "doc"), ["set_key", "doc"], "left_semi")
+    # one representative of each distinct set; stored, so that the joins below are dealt by document or can be split
+    classes = ids(usable.groupBy("set_key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    reps = usable.join(classes.select("set_key", F.col("rep").alias("doc")), ["set_key", "doc"], "left_semi")
     entries = reps.select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = ids(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
     members = stored(entries.join(shared, "key").distinct(), "buckets")
     # the member with most company is the likeliest original: it comes first as a centre
     weight = members.groupBy("doc").agg(F.sum("size").alias("weight"))
@@ -388,7 +388,7 @@ def _groups(df: DataFrame, width: int, percent: int, text: str, doc_id: str) ->
     sets = stored(hashed_sets(docs.join(wanted, "doc", "left_semi"), width, "text", ["doc"]), "sets")
 
     sizes = members.select(F.col("doc").alias("x"), "n", "weight").distinct()
-    centre = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc")).alias("less"))).alias("c"))
+    centre = ids(members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc")).alias("less"))).alias("c")), "centres")
     stars = members.join(centre, "key").select((-F.col("c.less")).alias("c"), F.col("doc").alias("x")).where("c <> x").distinct()
     # a family is a centre and the members of the buckets that it is the centre of
     stars = ids(stars.select("c", "x", F.col("c").alias("a"), F.col("x").alias("b")), "stars")
@@ -423,21 +423,32 @@ def _groups(df: DataFrame, width: int, percent: int, text: str, doc_id: str) ->
         if not counts["large"]:
             break
         families = smaller(large, sets, percent).drop("parent")
-    named = classes.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("component_id"))
-    out = rows.select("doc", "n_shingles", "set_key").join(named, "set_key", "left")
+    # a text without copies or links is its own component and needs no look-up
+    named = classes.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").where("copies > 1 or comp <> rep")
+    named = ids(named.select("set_key", F.coalesce("comp", "rep").alias("component_id")), "named")
+    out = spread_join(rows.select("doc", "n_shingles", "set_key"), named, ["set_key"], "left")
     component = F.when(F.col("doc").isNull(), None).otherwise(F.coalesce("component_id", "doc"))
     return out.select(F.col("doc").alias(doc_id), "n_shingles", component.alias("component_id"))
 
 
 def deduplicated(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``df`` with one document of each group: the one with the least id; rows with a null id all stay."""
-    found = groups(df, width, percent, text, doc_id)
-    gone = found.where(F.col("component_id") != F.col(doc_id)).select(F.col(doc_id).alias("__rf_gone")).distinct()
-    kept = df.join(gone, df[f"`{doc_id}`"] == gone["__rf_gone"], "left_anti")
-    ids = found.where(F.col(doc_id).isNotNull())
-    repeated = ids.groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("__rf_again"))
-    if repeated.isEmpty():
-        return kept
-    again = F.broadcast(repeated) if repeated.count() < 100_000 else repeated
-    once = kept.join(again, kept[f"`{doc_id}`"] == again["__rf_again"], "left_semi").dropDuplicates([doc_id])
-    return kept.join(again, kept[f"`{doc_id}`"] == again["__rf_again"], "left_anti").unionByName(once)
+    """``df`` with one row of each group: the one with the least id; rows with a null id all stay.
+
+    Rows that repeat an id are judged by their own texts: of equal ones one stays, different ones stay if their groups
+    have no lesser id.
+    """
+    key = f"`{doc_id}`"
+    if df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        found = groups(df, width, percent, text, doc_id)
+        gone = found.where(F.col("component_id") != F.col(doc_id)).select(F.col(doc_id).alias("__rf_gone"))
+        return df.join(gone, df[key] == gone["__rf_gone"], "left_anti")
+    # numbers in order of ids stand for the rows
+    numbered = df.where(F.col(key).isNotNull()).orderBy(key, text).withColumn("__rf_row", F.monotonically_increasing_id())
+    numbered = stored(numbered, "numbered")
+    found = groups(numbered, width, percent, text, "__rf_row")
+    gone = found.where("component_id <> __rf_row").select(F.col("__rf_row").alias("__rf_gone"))
+    kept = numbered.join(gone, numbered["__rf_row"] == gone["__rf_gone"], "left_anti")
+    # texts without shingles are linked with nothing, but of equal rows one stays
+    bare = kept.join(found.where("n_shingles = 0").select("__rf_row"), "__rf_row", "left_semi").dropDuplicates([doc_id, text])
+    kept = kept.join(found.where("n_shingles > 0").select("__rf_row"), "__rf_row", "left_semi").unionByName(bare)
+    return kept.drop("__rf_row").unionByName(df.where(F.col(key).isNull()))

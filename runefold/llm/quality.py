@@ -215,8 +215,10 @@ def train(
     known = known.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & learn).distinct()
     known = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "y").limit(sample)
     texts = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = with_statistics(texts.join(F.broadcast(known), "doc_id"), keep=["doc_id", "y"])
-    got = rows.toPandas().drop_duplicates().sort_values(["doc_id", "y", *[_PREFIX + s for s in STATS]])
+    rows = with_statistics(texts.join(F.broadcast(known), "doc_id"), keep=["doc_id", "y"]).distinct()
+    # rows may repeat an id: no more than the sample reaches the driver in any case
+    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(1)), *rows.columns).limit(sample)
+    got = rows.toPandas().sort_values(["doc_id", "y", *[_PREFIX + s for s in STATS]])
     y = (got["y"].to_numpy() > 0).astype(np.int64)
     return fit(got[[_PREFIX + s for s in STATS]].to_numpy(np.float64), y)
 
@@ -224,5 +226,6 @@ def train(
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """``df`` with the probability of label 1."""
     rows = with_statistics(df, text, keep)
-    names = [c for c in rows.columns if not c.startswith(_PREFIX)]
+    made = {_PREFIX + s for s in STATS}
+    names = [c for c in rows.columns if c not in made]
     return rows.select(*[F.col(f"`{c}`") for c in names], F.expr(model.sql()).alias(name))

@@ -8,7 +8,7 @@ Of records with equal payloads of at least ``LEAST`` bytes the one with the leas
 revisits, whose headers name digest, length and that response, and which carry no payload again.
 
 Defined results: a null or empty payload is a response of 0 bytes; a null key is written as such, and is the response
-of its group only if no key is there. Rows that repeat a key and a payload are all written; those that repeat the
+of its group only if no key is there. URLs come back as they were, a null one as null. Very long payloads and URLs are written whole. Rows that repeat a key and a payload are all written; those that repeat the
 least key of a group are all responses. An empty table gives an empty table. Other columns are ignored.
 """
 
@@ -38,7 +38,7 @@ _SCHEMA = pa.schema([("record_id", pa.string()), ("chunk_no", pa.int32()), ("dat
 
 def header(record_id: str, page_id: int | None, url: str | None, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
     """The header block of a record, up to and with its empty line."""
-    target = quote(url, safe=":/?#[]@!$&'()*+,;=%-._~") if url is not None else None
+    target = quote(url, safe=":/?#[]@!$&'()*+,;=-._~") if url is not None else None
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", f"<urn:record:{record_id}>"),
@@ -113,7 +113,7 @@ def read_chunks(spark, path: str) -> DataFrame:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of chunk rows in order; one that is cut off at either end of the rows is named in ``broken`` instead."""
+    """Records of chunk rows in order; one that lacks rows here is named in ``broken`` instead."""
     from urllib.parse import unquote
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "broken"]
@@ -142,10 +142,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head = parse_header(data.as_py()) if number == 0 else None
             elif head is not None:
                 if number != at + 1:
-                    raise ValueError(f"record {record_id}: chunk {number} is out of place")
-                at = number
-                digest.update(data.as_buffer())
-                size += len(data.as_buffer())
+                    head = None  # rows of a table that was dealt anew: the record is mended in the second reading
+                else:
+                    at = number
+                    digest.update(data.as_buffer())
+                    size += len(data.as_buffer())
             if head is not None and digest.hexdigest() != carried:
                 raise ValueError(f"record {record_id}: chunk {number} is damaged")
         if done:
