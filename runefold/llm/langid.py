@@ -34,7 +34,7 @@ BANDS = 24
 #: Length bands (powers of two of letter bytes) in which distances are unreliable.
 SHORT = 6
 _ROWS = 256
-_BYTES = 8 << 20
+_BYTES = 2 << 20
 
 FIELDS = [
     T.StructField("lang_pred", T.StringType(), False),
