@@ -12,10 +12,10 @@ def torn_prefix(log: DataFrame, torn_at: int) -> DataFrame:
 
 
 def test_matrix(events: DataFrame) -> DataFrame:
-    """suite, test, status: fail over skip over pass, as the worst event of each test; missing if none ended it."""
-    rank = F.expr("case action when 'fail' then 3 when 'skip' then 2 when 'pass' then 1 else 0 end")
-    worst = events.groupBy("suite", "test").agg(F.max(rank).alias("r"), F.count(F.lit(1)).alias("events"))
-    return worst.select("suite", "test", F.expr("element_at(array('missing', 'pass', 'skip', 'fail'), r + 1)").alias("status"), "events")
+    """suite, test, status, events of test events (suite, test, pos, action): the last pass, fail or skip counts; missing if there is none."""
+    ended = F.col("action").isin("pass", "fail", "skip")
+    last = events.groupBy("suite", "test").agg(F.max_by(F.when(ended, F.col("action")), F.when(ended, F.col("pos"))).alias("status"), F.count(F.lit(1)).alias("events"))
+    return last.select("suite", "test", F.coalesce("status", F.lit("missing")).alias("status"), "events")
 
 
 def tail(trace: DataFrame, n: int) -> DataFrame:

@@ -5,6 +5,7 @@ All are one hash aggregation with map-side combining, so a hot key costs one row
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,22 +61,55 @@ def run_metadata(log: DataFrame) -> DataFrame:
     )
 
 
+#: What a memtable counts for an entry besides its key and value (fixed values): a flat part, and a byte for a tombstone.
+ENTRY_COST, TOMBSTONE = 64, 1
+
+
+def entry_size() -> Column:
+    """Bytes that an operation adds to a memtable; an overwrite adds its own."""
+    value = F.when(F.col("op") == "delete", F.lit(TOMBSTONE)).otherwise(F.coalesce(F.octet_length("v"), F.lit(0)))
+    return (F.octet_length("k") + value + ENTRY_COST).cast("long")
+
+
 def flush_generations(log: DataFrame, threshold: int) -> DataFrame:
-    """Memtable generations: entries add up in seq order and a generation ends when its size reaches the threshold.
+    """Memtable generations: sizes add up in seq order and a generation ends with the entry that reaches the threshold.
 
-    The reset-sum is sequential, so it runs over sizes alone, as one ordered stream of rows.
+    The reset-sum is sequential, so it runs over sizes alone, as one ordered stream of two numbers a row.
     """
-    rows = log.select("seq", (F.length("k") + F.coalesce(F.length("v"), F.lit(0))).cast("long").alias("size"))
+    rows = log.select("seq", entry_size().alias("size"))
 
     def run(batches):
         generation, held = 0, 0
         for pdf in batches:
-            out = []
-            for size in pdf["size"]:
-                out.append(generation)
-                held += int(size)
-                if held >= threshold:
-                    generation, held = generation + 1, 0
+            ends = np.cumsum(pdf["size"].to_numpy()) + held
+            out = np.empty(len(ends), np.int64)
+            at = 0
+            base = 0
+            while at < len(ends):  # a step a generation, not a row
+                stop = int(np.searchsorted(ends, base + threshold)) + 1
+                out[at:stop] = generation
+                if stop > len(ends):
+                    break
+                generation, base, at = generation + 1, int(ends[stop - 1]), stop
+            held = int(ends[-1]) - base if len(ends) else held
             yield pdf.assign(generation=out)[["seq", "generation"]]
 
     return rows.repartition(1).sortWithinPartitions("seq").mapInPandas(run, "seq long, generation long")
+
+
+def ordered(log: DataFrame) -> DataFrame:
+    """All newest entries, tombstones included, by key: a range-partitioned sort."""
+    return newest(log).orderBy("k")
+
+
+def is_empty(log: DataFrame) -> DataFrame:
+    """One row: whether no key is live."""
+    return live(log).limit(1).agg((F.count(F.lit(1)) == 0).alias("empty"))
+
+
+def stats(log: DataFrame, unflushed: Column) -> DataFrame:
+    """One row: runs, size of the memtable (operations for which ``unflushed`` holds) and its entries, tombstones counted."""
+    return log.agg(
+        F.count_distinct(F.when(~unflushed, F.col("run"))).alias("sstables"), F.coalesce(F.sum(F.when(unflushed, entry_size())), F.lit(0)).alias("approx_size"),
+        F.count_distinct(F.when(unflushed, F.col("k"))).alias("memtable_len"),
+    )

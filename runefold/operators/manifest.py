@@ -19,26 +19,35 @@ def orphans(present: DataFrame, live: DataFrame) -> DataFrame:
     return present.join(live, "number", "left_anti")
 
 
-def _cell(key: str) -> Column:
-    return (F.col(key).cast("long") / 64).cast("long")
+def cells(files: DataFrame, ranges: int = 512) -> DataFrame:
+    """``files`` with ``cell``, a row for each of the key ranges that a file's range touches: files that meet share one.
+
+    The key space is cut at about ``ranges`` of the files' own least keys, which are the only thing the driver sees.
+    Any ordered key type will do.
+    """
+    cuts = sorted({r[0] for r in files.select("min_key").where("min_key is not null").repartitionByRange(ranges, "min_key").groupBy(F.spark_partition_id()).agg(F.min("min_key")).select("min(min_key)").collect()})
+    bounds = F.array(*[F.lit(c) for c in cuts])
+    place = lambda c: F.size(F.filter(bounds, lambda b: b <= F.col(c)))
+    return files.withColumn("cell", F.explode(F.sequence(place("min_key"), place("max_key"))))
 
 
-def _cells(low: str, high: str) -> Column:
-    """Cells of keys that a range touches, one a row: ranges that meet share one."""
-    return F.explode(F.sequence(_cell(low), _cell(high)))
+def _meet(lower: Column) -> Column:
+    """Whether two ranges meet, in a join of their levels and cells."""
+    return lower & (F.col("a_min") <= F.col("b_max")) & (F.col("b_min") <= F.col("a_max"))
 
 
 def overlaps(files: DataFrame) -> DataFrame:
-    """Pairs (upper level, next level) whose key ranges meet.
+    """upper, lower, level: pairs of a file and one of the next level whose key ranges meet.
 
-    Ranges are keyed by the leading part of the keys that they touch, so the join is an equality join on buckets.
+    An equality join on cells; a pair that shares several counts in the first.
     """
-    a = files.select(F.col("number").alias("upper"), F.col("level").alias("lv"), F.col("min_key").alias("a_min"), F.col("max_key").alias("a_max"))
-    b = files.select(F.col("number").alias("lower"), (F.col("level") - 1).alias("lv"), F.col("min_key").alias("b_min"), F.col("max_key").alias("b_max"))
-    a, b = a.withColumn("cell", _cells("a_min", "a_max")), b.withColumn("cell", _cells("b_min", "b_max"))
-    both = a.join(b, ["lv", "cell"]).where("a_min <= b_max and b_min <= a_max")
-    first = F.greatest(_cell("a_min"), _cell("b_min"))
-    return both.where(F.col("cell") == first).select("upper", "lower", F.col("lv").alias("level"))
+    rows = cells(files)
+    a = rows.select(F.col("number").alias("upper"), F.col("level").alias("lv"), F.col("min_key").alias("a_min"), F.col("max_key").alias("a_max"), "cell")
+    b = rows.select(F.col("number").alias("lower"), (F.col("level") - 1).alias("lv"), F.col("min_key").alias("b_min"), F.col("max_key").alias("b_max"), "cell")
+    first = rows.groupBy("number").agg(F.min("cell").alias("first"))
+    both = a.join(b, ["lv", "cell"]).where(_meet(F.lit(True)))
+    both = both.join(first.select(F.col("number").alias("upper"), F.col("first").alias("fa")), "upper").join(first.select(F.col("number").alias("lower"), F.col("first").alias("fb")), "lower")
+    return both.where(F.col("cell") == F.greatest("fa", "fb")).select("upper", "lower", F.col("lv").alias("level"))
 
 
 def bottom_most(files: DataFrame) -> DataFrame:
@@ -46,13 +55,22 @@ def bottom_most(files: DataFrame) -> DataFrame:
 
     Like ``overlaps``, an equality join on cells.
     """
-    upper = files.select("number", F.col("level").alias("lv"), F.col("min_key").alias("a_min"), F.col("max_key").alias("a_max"), _cells("min_key", "max_key").alias("cell"))
-    deeper = files.select(F.col("level").alias("dl"), F.col("min_key").alias("b_min"), F.col("max_key").alias("b_max"), _cells("min_key", "max_key").alias("cell")).distinct()
-    meets = (F.col("dl") > F.col("lv")) & (F.col("a_min") <= F.col("b_max")) & (F.col("b_min") <= F.col("a_max"))
-    covered = upper.join(deeper, (upper["cell"] == deeper["cell"]) & meets, "left_semi").select("number").distinct().withColumn("covered", F.lit(True))
+    rows = cells(files)
+    upper = rows.select("number", F.col("level").alias("lv"), F.col("min_key").alias("a_min"), F.col("max_key").alias("a_max"), "cell")
+    deeper = rows.select(F.col("level").alias("dl"), F.col("min_key").alias("b_min"), F.col("max_key").alias("b_max"), "cell").distinct()
+    covered = upper.join(deeper, (upper["cell"] == deeper["cell"]) & _meet(F.col("dl") > F.col("lv")), "left_semi").select("number").distinct().withColumn("covered", F.lit(True))
     return files.join(covered, "number", "left").select("number", "level", F.col("covered").isNull().alias("bottom_most"))
 
 
+def levels_overlap(files: DataFrame) -> DataFrame:
+    """level, a, b: pairs of files of one level from 1 down whose ranges meet; must be empty."""
+    ranges = files.where("level >= 1").select("level", "number", "min_key", "max_key")
+    order = Window.partitionBy("level").orderBy("min_key", "number")
+    # along rising least keys, a file meets an earlier one if the greatest key so far reaches it
+    reach = F.max(F.struct("max_key", "number")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return ranges.withColumn("reach", reach).where("reach.max_key >= min_key").select("level", F.col("reach.number").alias("a"), F.col("number").alias("b"))
+
+
 def pick_leveled(files: DataFrame, trigger: int, budget: int = 4) -> DataFrame:
     """number, level, output_level, bottom_most of the files that the next leveled compaction merges; none if it is idle.
 
@@ -78,7 +96,7 @@ def pick_leveled(files: DataFrame, trigger: int, budget: int = 4) -> DataFrame:
     return inputs.crossJoin(none).select("number", "level", (F.col("at") + 1).alias("output_level"), "bottom_most")
 
 
-def pick_tiered(files: DataFrame, min_run: int, ratio: float = 2.0) -> DataFrame:
+def pick_tiered(files: DataFrame, min_run: int, ratio: float = 1.5) -> DataFrame:
     """number, bytes, output_level (0), bottom_most of the files that the next size-tiered compaction merges; none if it is idle.
 
     In order of size (ties: number), a bucket grows while the next file is within ``ratio`` of its average, rounded down, or

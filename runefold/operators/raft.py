@@ -12,45 +12,79 @@ def commit_index(matches: DataFrame, group: str, quorum: int) -> DataFrame:
     return matches.withColumn("r", F.row_number().over(w)).where(F.col("r") == quorum).select(group, F.col("match").alias("commit"))
 
 
-def guarded_commit(matches: DataFrame, log: DataFrame, group: str, quorum: int, term: int) -> DataFrame:
-    """Commit index with the term guard: only an entry of the leader's own term commits by counting."""
+def guarded_commit(matches: DataFrame, log: DataFrame, group: str, quorum: int, term: int, before: DataFrame | None = None) -> DataFrame:
+    """Commit index with the term guard: only an entry of the leader's own term commits by counting, and it never falls.
+
+    ``before`` has each group's commit so far (column ``before``); without it, 0.
+    """
     at = commit_index(matches, group, quorum).join(log, F.col("commit") == F.col("idx"), "left")
-    return at.select(group, F.when(F.col("term") == term, F.col("commit")).otherwise(F.lit(0)).alias("commit"))
+    at = at.withColumn("before", F.lit(0)) if before is None else at.join(before, group, "left")
+    reached = F.when(F.col("term") == term, F.col("commit")).otherwise(F.lit(0))
+    return at.select(group, F.greatest(F.coalesce("before", F.lit(0)), reached).alias("commit"))
+
+
+def quorum(nodes: int) -> int:
+    return nodes // 2 + 1
 
 
 def agreement(leader: DataFrame, followers: DataFrame) -> DataFrame:
-    """Follower entries beside the leader's: node, idx, term, same."""
+    """Follower entries beside the leader's: node, idx, term, lead_term, differs. What the leader does not have yet is no conflict."""
     lead = leader.select("idx", F.col("term").alias("lead_term"))
-    return followers.join(lead, "idx", "left").select("node", "idx", "term", "lead_term", F.coalesce(F.col("term") == F.col("lead_term"), F.lit(False)).alias("same"))
+    return followers.join(lead, "idx", "left").select("node", "idx", "term", "lead_term", F.coalesce(F.col("term") != F.col("lead_term"), F.lit(False)).alias("differs"))
 
 
 def first_conflict(leader: DataFrame, followers: DataFrame) -> DataFrame:
     """node, idx of the first entry that differs from the leader's."""
-    return agreement(leader, followers).where("not same").groupBy("node").agg(F.min("idx").alias("conflict"))
+    return agreement(leader, followers).where("differs").groupBy("node").agg(F.min("idx").alias("conflict"))
 
 
 def match_index(leader: DataFrame, followers: DataFrame) -> DataFrame:
     """Length of the prefix that each follower shares with the leader: one aggregation, no running sum."""
-    rows = agreement(leader, followers)
-    ends = rows.groupBy("node").agg(F.min(F.when(~F.col("same"), F.col("idx"))).alias("bad"), F.max("idx").alias("last"))
-    return ends.select("node", F.coalesce(F.col("bad") - 1, F.col("last")).alias("match"))
+    ends = agreement(leader, followers).groupBy("node").agg(
+        F.min(F.when(F.col("differs"), F.col("idx"))).alias("bad"), F.max(F.when(F.col("lead_term").isNotNull(), F.col("idx"))).alias("last")
+    )
+    return ends.select("node", F.coalesce(F.col("bad") - 1, F.col("last"), F.lit(0)).alias("match"))
+
 
+def conflict_hint(followers: DataFrame, probes: DataFrame) -> DataFrame:
+    """node, prev, conflict_term, conflict_index of the probes (node, prev, prev_term) that followers reject.
 
-def conflict_hint(leader: DataFrame, followers: DataFrame) -> DataFrame:
-    """Term of the first conflict and the first index that the follower has of that term."""
-    at = first_conflict(leader, followers).join(followers.withColumnRenamed("idx", "conflict"), ["node", "conflict"])
-    terms = followers.groupBy("node", "term").agg(F.min("idx").alias("hint"))
-    return at.join(terms, ["node", "term"]).select("node", F.col("term").alias("conflict_term"), F.col("hint").alias("conflict_index"))
+    A log that ends before ``prev`` answers term 0 and the index after its end; one with another term there answers that
+    term and the first index of the term's run.
+    """
+    ends = followers.groupBy("node").agg(F.max("idx").alias("last"))
+    at = followers.select("node", F.col("idx").alias("prev"), F.col("term").alias("own"))
+    asked = probes.join(F.broadcast(ends), "node").join(at, ["node", "prev"], "left").where("own is null or own <> prev_term")
+    # terms never fall along a log, so a term's first index is its run's
+    terms = followers.join(F.broadcast(asked.select("node", F.col("own").alias("term")).distinct()), ["node", "term"], "left_semi").groupBy("node", "term").agg(F.min("idx").alias("hint"))
+    out = asked.join(terms.withColumnRenamed("term", "own"), ["node", "own"], "left")
+    return out.select("node", "prev", F.coalesce("own", F.lit(0)).alias("conflict_term"), F.coalesce("hint", F.col("last") + 1).alias("conflict_index"))
 
 
 def merged(leader: DataFrame, followers: DataFrame) -> DataFrame:
-    """Follower logs after they take the leader's entries: their common prefix, then the leader's suffix."""
-    at = match_index(leader, followers)
-    kept = followers.join(at, "node").where("idx <= match").select("node", "idx", "term")
-    taken = leader.crossJoin(F.broadcast(at)).where("idx > match").select("node", "idx", "term")  # a row a node is broadcast
+    """Follower logs after they take the leader's entries.
+
+    A log is cut only at its first entry of another term; without one it keeps all it has, even past the leader's end.
+    """
+    ends = agreement(leader, followers).groupBy("node").agg(F.min(F.when(F.col("differs"), F.col("idx"))).alias("bad"), F.max("idx").alias("last"))
+    ends = F.broadcast(ends.select("node", F.coalesce(F.col("bad"), F.col("last") + 1).alias("cut")))  # a row a node
+    kept = followers.join(ends, "node").where("idx < cut").select("node", "idx", "term")
+    taken = leader.join(ends, F.col("idx") >= F.col("cut")).select("node", "idx", "term")
     return kept.union(taken)
 
 
+def outcomes(proposals: DataFrame, log: DataFrame, applied: int, offset: int = 0) -> DataFrame:
+    """Adds outcome to proposals (idx, term) waiting at a node that has ``applied`` entries, the first ``offset`` of them compacted.
+
+    ok: applied in the term it was proposed in; ErrProposalLost: another entry took its place, or it is compacted away;
+    ErrProposeTimeout: not applied.
+    """
+    at = proposals.join(log.select("idx", F.col("term").alias("__own")), "idx", "left")
+    kept = F.coalesce((F.col("idx") >= offset) & (F.col("term") == F.col("__own")), F.lit(False))
+    out = F.when(F.col("idx") > applied, "ErrProposeTimeout").when(kept, "ok").otherwise("ErrProposalLost")
+    return at.withColumn("outcome", out).drop("__own")
+
+
 def batches(log: DataFrame, size: int) -> DataFrame:
     return log.withColumn("batch", F.expr(f"(idx - 1) div {size}")).groupBy("batch").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count(F.lit(1)).alias("n"))
 
@@ -66,14 +100,19 @@ def two_leaders(leaders: DataFrame) -> DataFrame:
     return leaders.groupBy("term").agg(F.count_distinct("node").alias("leaders")).where("leaders > 1")
 
 
-def log_matching(logs: DataFrame) -> DataFrame:
+def log_matching(logs: DataFrame, block: int = 4096) -> DataFrame:
     """Indexes and terms that two logs share although an earlier entry differs: must be empty.
 
-    Each node's rows carry a running hash of all terms so far; equal (idx, term) must have one hash.
+    Each entry carries the sum of the hashes up to it; equal (idx, term) must have one sum. Sums of blocks of indexes come
+    first, so no window holds more than a block, or a row a block.
     """
-    w = Window.partitionBy("node").orderBy("idx")
-    steps = logs.withColumn("h", F.sum(F.xxhash64("idx", "term").cast("decimal(38,0)")).over(w))
-    return steps.groupBy("idx", "term").agg(F.count_distinct("h").alias("prefixes")).where("prefixes > 1")
+    steps = logs.select("node", "idx", "term", F.xxhash64("idx", "term").cast("decimal(38,0)").alias("h"), F.expr(f"idx div {block}").alias("b"))
+    sums = steps.groupBy("node", "b").agg(F.sum("h").alias("whole"))
+    before = F.sum("whole").over(Window.partitionBy("node").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("node", "b", F.coalesce(before, F.lit(0).cast("decimal(38,0)")).alias("before"))
+    within = F.sum("h").over(Window.partitionBy("node", "b").orderBy("idx"))
+    steps = steps.withColumn("within", within).join(sums, ["node", "b"]).withColumn("prefix", F.col("before") + F.col("within"))
+    return steps.groupBy("idx", "term").agg(F.count_distinct("prefix").alias("prefixes")).where("prefixes > 1")
 
 
 def up_to_date(term: str, idx: str, own_term: str, own_idx: str) -> Column:

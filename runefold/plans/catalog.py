@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import codecs
 from ..operators import bloom, faults, fold, linearize, manifest, raft
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .registry import ORACLE_SQL, QUERIES, register  # noqa: F401
 
 OPLOG = """WITH oplog AS (
   SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, 'u' || user_id AS k,
@@ -23,9 +21,13 @@ newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s
 RAFT = """WITH leader AS (SELECT o_orderkey + 1 AS idx, 1 + o_orderkey // 1000 AS term FROM orders), total AS (SELECT count(*) AS n FROM orders),
 followers AS (
   SELECT node::INTEGER AS node, idx, CASE WHEN idx > n - node * 300 THEN term - 1 ELSE term END AS term
-  FROM leader, total, (SELECT unnest([1, 2, 3, 4]) AS node) WHERE idx <= n - node * 137),
-agreed AS (SELECT f.node, f.idx, f.term, l.term AS lead, f.term = l.term AS same FROM followers f LEFT JOIN leader l USING (idx)),
-ends AS (SELECT node, coalesce(min(CASE WHEN NOT same THEN idx END) - 1, max(idx)) AS match FROM agreed GROUP BY node)
+  FROM leader, total, (SELECT unnest([1, 2, 3, 4]) AS node) WHERE idx <= n - node * 137
+  UNION ALL SELECT 5, idx, term FROM leader UNION ALL SELECT 5, n + i, (SELECT max(term) FROM leader) FROM total, range(1, 51) t(i)),
+conflicts AS (SELECT f.node, min(f.idx) AS conflict FROM followers f JOIN leader l USING (idx) WHERE f.term <> l.term GROUP BY f.node),
+lasts AS (SELECT node, max(idx) AS last FROM followers GROUP BY node),
+cuts AS (SELECT node, coalesce(conflict, last + 1) AS cut FROM lasts LEFT JOIN conflicts USING (node)),
+ends AS (SELECT node, coalesce(conflict - 1, least(last, n)) AS match FROM lasts LEFT JOIN conflicts USING (node), total),
+merged AS (SELECT node, idx, term FROM followers JOIN cuts USING (node) WHERE idx < cut UNION ALL SELECT node, l.idx, l.term FROM cuts JOIN leader l ON l.idx >= cut)
 """
 HISTORY = """WITH h AS (
   SELECT event_id AS id, user_id % 40 AS k, 10 * event_id AS s, 10 * event_id + (7919 * event_id) % 50 AS e,
@@ -33,28 +35,16 @@ HISTORY = """WITH h AS (
 w AS (SELECT * FROM h WHERE kind <> 'get'), wl AS (SELECT *, lag(id) OVER (PARTITION BY k ORDER BY id) AS prev FROM w),
 g AS (SELECT h.*, (SELECT CASE WHEN h.id % 97 < 5 THEN arg_max(wl.prev, wl.id) ELSE max(wl.id) END FROM wl WHERE wl.k = h.k AND wl.id < h.id) AS obs FROM h WHERE kind = 'get')
 """
-FILES = """WITH f AS (SELECT o_orderkey AS number, (o_custkey % 4)::INTEGER AS level, lpad(o_custkey::VARCHAR, 8, '0') AS min_key,
-  lpad((o_custkey + o_orderkey % 50)::VARCHAR, 8, '0') AS max_key FROM orders WHERE o_orderkey <= 2000)
+FILES = """WITH RECURSIVE f AS (SELECT o_orderkey AS number, (o_custkey % 4)::INTEGER AS level, lpad(o_custkey::VARCHAR, 8, '0') AS min_key,
+  lpad((o_custkey + o_orderkey % 50)::VARCHAR, 8, '0') AS max_key FROM orders)
 """
 
 
-def register(name: str, sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 def simple(name: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
     """A query over the op log."""
     register(name, OPLOG + sql)(lambda spark, sf_dir: make(schema.oplog(spark, sf_dir)))
 
 
-KEYS = [f"u{i}" for i in range(0, 400, 7)]
-
 simple("kv_live_view", fold.live, "SELECT k, v FROM newest WHERE op = 'put'")
 simple("kv_live_count", lambda log: fold.live(log).agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM newest WHERE op = 'put'")
 simple("kv_point_get", lambda log: fold.get(log, "u7"), "SELECT 'u7' AS k, v IS NOT NULL AS found, v FROM (SELECT 1) LEFT JOIN (SELECT v FROM newest WHERE op = 'put' AND k = 'u7') ON true")
@@ -74,7 +64,12 @@ simple(
     "run_metadata", fold.run_metadata,
     "SELECT run, count(*) AS entries, min(k) AS min_key, max(k) AS max_key, max(seq) AS max_seq, sum((op = 'delete')::INT)::BIGINT AS tombstones, sum(length(k) + coalesce(length(v), 0))::BIGINT AS bytes FROM oplog GROUP BY run",
 )
-register("flush_generations")(lambda spark, sf_dir: fold.flush_generations(schema.oplog(spark, sf_dir), 4096))
+#: Boundaries by recursion over generations: each ends with the first entry whose running size reaches the threshold.
+_FLUSH = OPLOG.replace("WITH oplog", "WITH RECURSIVE oplog") + """, sized AS (SELECT seq, sum(length(k) + CASE WHEN op = 'delete' THEN 1 ELSE length(v) END + 64) OVER (ORDER BY seq) AS total FROM oplog),
+ends AS (SELECT 0::BIGINT AS generation, (SELECT min(seq) FROM sized WHERE total >= 4096) AS last, (SELECT min(total) FROM sized WHERE total >= 4096) AS base
+  UNION ALL SELECT generation + 1, (SELECT min(seq) FROM sized WHERE total >= base + 4096), (SELECT min(total) FROM sized WHERE total >= base + 4096) FROM ends WHERE last IS NOT NULL)
+SELECT seq, (SELECT min(generation) FROM ends WHERE last >= seq OR last IS NULL) AS generation FROM sized"""
+register("flush_generations", _FLUSH)(lambda spark, sf_dir: fold.flush_generations(schema.oplog(spark, sf_dir), 4096))
 simple("fault_torn_prefix", lambda log: fold.live(faults.torn_prefix(log, 777)), "SELECT k, arg_max(coalesce(v, ''), seq) AS v FROM oplog WHERE seq < 777 GROUP BY k HAVING arg_max(op, seq) = 'put'")
 simple("trace_tail", lambda log: faults.tail(log.select("seq", "op", "k"), 50), "SELECT seq, op, k FROM oplog ORDER BY seq DESC LIMIT 50")
 
@@ -114,15 +109,37 @@ def _orphans(spark, sf_dir):
 register("compaction_overlap", FILES + "SELECT a.number AS upper, b.number AS lower, a.level FROM f a JOIN f b ON b.level = a.level + 1 AND a.min_key <= b.max_key AND b.min_key <= a.max_key")(
     lambda spark, sf_dir: manifest.overlaps(schema.files(spark, sf_dir))
 )
-register("compaction_bottom_most", FILES + ", l AS (SELECT level, min(min_key) AS lo, max(max_key) AS hi FROM f GROUP BY level) SELECT number, level, NOT EXISTS (SELECT 1 FROM l WHERE l.level > f.level AND lo <= max_key AND hi >= min_key) AS bottom_most FROM f")(
+register("compaction_bottom_most", FILES + ", covered AS (SELECT DISTINCT a.number FROM f a JOIN f b ON b.level > a.level AND a.min_key <= b.max_key AND b.min_key <= a.max_key) SELECT number, level, covered.number IS NULL AS bottom_most FROM f LEFT JOIN covered USING (number)")(
     lambda spark, sf_dir: manifest.bottom_most(schema.files(spark, sf_dir))
 )
-register("compaction_pick_leveled", FILES + "SELECT level, count(*) AS n FROM f GROUP BY level HAVING count(*) >= 4 * pow(10, level) ORDER BY level LIMIT 1")(
-    lambda spark, sf_dir: manifest.pick_leveled(schema.files(spark, sf_dir), 4)
+#: The lowest level that is full (level 0 with 4 files, others with more than 4); of a level from 1 down the file of least key
+#: goes, with the next level's files in its range; bottom-most if no file further down is in the range of all of them.
+_LEVELED = """, full_at AS (SELECT min(level) AS lv FROM (SELECT level, count(*) AS n FROM f GROUP BY level) WHERE level = 0 AND n >= 4 OR level > 0 AND n > 4),
+prim AS (SELECT * FROM f, full_at WHERE level = lv AND (lv = 0 OR number = (SELECT arg_min(number, (min_key, number)) FROM f, full_at WHERE level = lv))),
+ins AS (SELECT number, level, min_key, max_key, lv FROM prim UNION ALL
+  SELECT f.number, f.level, f.min_key, f.max_key, lv FROM f, full_at WHERE f.level = lv + 1 AND f.min_key <= (SELECT max(max_key) FROM prim) AND f.max_key >= (SELECT min(min_key) FROM prim))
+SELECT number, level, (lv + 1)::INTEGER AS output_level,
+  NOT EXISTS (SELECT 1 FROM f, full_at WHERE f.level > lv + 1 AND f.min_key <= (SELECT max(max_key) FROM ins) AND f.max_key >= (SELECT min(min_key) FROM ins)) AS bottom_most FROM ins"""
+#: The walk over rising sizes, a step a size: files of one size are alike. The average is rounded down.
+_TIERED = """, sized AS (SELECT number, (number % 97 + 1)::BIGINT AS bytes FROM f),
+steps AS (SELECT bytes, count(*) AS c, row_number() OVER (ORDER BY bytes) AS r FROM sized GROUP BY bytes),
+walk AS (SELECT 0::BIGINT AS r, 0::BIGINT AS n, 0::BIGINT AS total, 0::BIGINT AS lo, 0::BIGINT AS hi, false AS done
+  UNION ALL SELECT s.r, CASE WHEN e.ends THEN w.n WHEN e.alike THEN w.n + s.c ELSE s.c END, (CASE WHEN e.ends THEN w.total WHEN e.alike THEN w.total + s.c * s.bytes ELSE s.c * s.bytes END)::BIGINT,
+    CASE WHEN e.ends OR e.alike AND w.n > 0 THEN w.lo ELSE s.bytes END, CASE WHEN e.ends THEN w.hi ELSE s.bytes END, e.ends
+  FROM walk w JOIN steps s ON s.r = w.r + 1, LATERAL (SELECT w.n = 0 OR w.total // greatest(w.n, 1) = 0 OR (s.bytes <= w.total // greatest(w.n, 1) * 1.5 AND s.bytes >= (w.total // greatest(w.n, 1)) / 1.5) AS alike) a,
+    LATERAL (SELECT a.alike, NOT a.alike AND w.n >= 200 AS ends) e WHERE NOT w.done),
+chosen AS (SELECT n, lo, hi FROM walk ORDER BY done DESC, r DESC LIMIT 1)
+SELECT number, bytes, 0::INTEGER AS output_level, n = (SELECT count(*) FROM f) AS bottom_most FROM sized, chosen WHERE n >= 200 AND bytes BETWEEN lo AND hi"""
+register("compaction_pick_leveled", FILES + _LEVELED)(lambda spark, sf_dir: manifest.pick_leveled(schema.files(spark, sf_dir), 4))
+register("compaction_pick_promoted", FILES.replace("FROM orders)", "FROM orders WHERE o_custkey % 4 > 0)") + _LEVELED)(
+    lambda spark, sf_dir: manifest.pick_leveled(schema.files(spark, sf_dir).where("level > 0"), 4)
 )
-register("compaction_pick_tiered", FILES + ", t AS (SELECT number, (number % 97 + 1)::BIGINT AS bytes, floor(ln(number % 97 + 1) / ln(2.0) + 0.0)::BIGINT AS tier FROM f) SELECT number, bytes, tier FROM (SELECT *, count(*) OVER (PARTITION BY tier) AS n FROM t) WHERE n >= 200")(
+register("compaction_pick_tiered", FILES + _TIERED)(
     lambda spark, sf_dir: manifest.pick_tiered(schema.files(spark, sf_dir).select("number", F.expr("number % 97 + 1").alias("bytes")), 200)
 )
+register("compaction_levels_overlap", FILES + ", pairs AS (SELECT a.level, a.number AS a, b.number AS b, b.min_key, b.max_key, a.max_key AS reach FROM f a JOIN f b ON a.level = b.level AND a.level >= 1 AND (a.min_key, a.number) < (b.min_key, b.number)), best AS (SELECT level, arg_max(a, (reach, a)) AS a, b, max(reach) AS reach, any_value(min_key) AS min_key FROM pairs GROUP BY level, b) SELECT level, a, b FROM best WHERE reach >= min_key")(
+    lambda spark, sf_dir: manifest.levels_overlap(schema.files(spark, sf_dir))
+)
 register("sparse_index_seek", OPLOG + ", b AS (SELECT k AS first_key, (rn2 - 1) // 16 AS block FROM (SELECT k, row_number() OVER (ORDER BY k) AS rn2 FROM newest) WHERE (rn2 - 1) % 16 = 0) SELECT n.k, max(b.first_key) AS first_key FROM newest n JOIN b ON b.first_key <= n.k GROUP BY n.k")(
     lambda spark, sf_dir: _seek(fold.newest(schema.oplog(spark, sf_dir)))
 )
@@ -148,15 +165,29 @@ def _matches(spark, sf_dir):
 
 _MATCH = "WITH m AS (SELECT o_orderkey, node, (o_custkey * node) % 97 AS match FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS node)), c AS (SELECT o_orderkey, match AS commit FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY match DESC) AS r FROM m) WHERE r = 3)"
 register("raft_commit_index", _MATCH + " SELECT * FROM c")(lambda spark, sf_dir: raft.commit_index(_matches(spark, sf_dir), "o_orderkey", 3))
-register("raft_commit_guarded", _MATCH + " SELECT o_orderkey, CASE WHEN commit BETWEEN 1 AND 1000 AND commit <= (SELECT max(o_orderkey) + 1 FROM orders) THEN commit ELSE 0 END AS commit FROM c")(
-    lambda spark, sf_dir: raft.guarded_commit(_matches(spark, sf_dir), schema.leader_log(spark, sf_dir), "o_orderkey", 3, 1)
+register("raft_commit_guarded", _MATCH + " SELECT o_orderkey, greatest(o_custkey % 50, CASE WHEN commit BETWEEN 1 AND 1000 AND commit <= (SELECT max(o_orderkey) + 1 FROM orders) THEN commit ELSE 0 END) AS commit FROM c JOIN orders USING (o_orderkey)")(
+    lambda spark, sf_dir: raft.guarded_commit(
+        _matches(spark, sf_dir), schema.leader_log(spark, sf_dir), "o_orderkey", raft.quorum(5), 1, schema.table(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_custkey % 50").alias("before"))
+    )
 )
-register("raft_first_conflict", RAFT + "SELECT node, min(idx) AS conflict FROM agreed WHERE NOT same GROUP BY node")(lambda spark, sf_dir: raft.first_conflict(schema.leader_log(spark, sf_dir), schema.follower_logs(spark, sf_dir)))
+register("raft_first_conflict", RAFT + "SELECT node, conflict FROM conflicts")(lambda spark, sf_dir: raft.first_conflict(schema.leader_log(spark, sf_dir), schema.follower_logs(spark, sf_dir)))
 register("raft_match_index", RAFT + "SELECT node, match FROM ends")(lambda spark, sf_dir: raft.match_index(schema.leader_log(spark, sf_dir), schema.follower_logs(spark, sf_dir)))
-register("raft_conflict_hint", RAFT + ", c AS (SELECT node, min(idx) AS i FROM agreed WHERE NOT same GROUP BY node), t AS (SELECT c.node, f.term FROM c JOIN followers f ON f.node = c.node AND f.idx = c.i) SELECT t.node, t.term AS conflict_term, min(f.idx) AS conflict_index FROM t JOIN followers f ON f.node = t.node AND f.term = t.term GROUP BY ALL")(
-    lambda spark, sf_dir: raft.conflict_hint(schema.leader_log(spark, sf_dir), schema.follower_logs(spark, sf_dir))
+_PROBES = ", probes AS (SELECT node, prev, term AS prev_term FROM (SELECT node, n AS prev FROM lasts, total UNION ALL SELECT node, n - 200 * node FROM lasts, total) p JOIN leader ON idx = prev)"
+register("raft_conflict_hint", RAFT + _PROBES + " SELECT p.node, prev, coalesce(f.term, 0) AS conflict_term, coalesce((SELECT min(idx) FROM followers g WHERE g.node = p.node AND g.term = f.term), last + 1) AS conflict_index FROM probes p JOIN lasts USING (node) LEFT JOIN followers f ON f.node = p.node AND f.idx = prev WHERE f.term IS NULL OR f.term <> prev_term")(
+    lambda spark, sf_dir: raft.conflict_hint(schema.follower_logs(spark, sf_dir), _probes(spark, sf_dir))
 )
-register("raft_merge_result", RAFT + "SELECT node, l.idx, l.term FROM ends, leader l")(lambda spark, sf_dir: raft.merged(schema.leader_log(spark, sf_dir), schema.follower_logs(spark, sf_dir)))
+
+
+def _probes(spark, sf_dir):
+    """Probes at the leader's end and a bit before it."""
+    log = schema.leader_log(spark, sf_dir)
+    n = log.agg(F.count(F.lit(1)).alias("n"))
+    nodes = spark.range(1, 6).select(F.col("id").cast("int").alias("node")).join(F.broadcast(n))
+    at = nodes.select("node", F.explode(F.expr("array(n, n - 200 * node)")).alias("prev"))
+    return log.join(F.broadcast(at), F.col("idx") == F.col("prev")).select("node", "prev", F.col("term").alias("prev_term"))
+
+
+register("raft_merge_result", RAFT + "SELECT node, idx, term FROM merged")(lambda spark, sf_dir: raft.merged(schema.leader_log(spark, sf_dir), schema.follower_logs(spark, sf_dir)))
 register("raft_apply_committed", OPLOG + "SELECT k, arg_max(coalesce(v, ''), seq) AS v FROM oplog WHERE seq + 1 <= (SELECT count(*) * 3 // 4 FROM events) GROUP BY k HAVING arg_max(op, seq) = 'put'")(
     lambda spark, sf_dir: _applied(spark, sf_dir)
 )
@@ -180,13 +211,26 @@ register("raft_vote_tally", _BALLOTS + " SELECT * FROM t")(lambda spark, sf_dir:
 register("raft_invariant_leader_per_term", _BALLOTS + " SELECT term, count(*) AS leaders FROM t WHERE elected GROUP BY term HAVING count(*) > 1")(
     lambda spark, sf_dir: raft.two_leaders(raft.votes(_ballots(spark, sf_dir), 7).where("elected").select("term", F.col("candidate").alias("node")))
 )
-register("raft_invariant_log_matching", RAFT + ", merged AS (SELECT node, l.idx, l.term FROM ends, leader l), r AS (SELECT idx, term, sum(hash(idx * 1000003 + term)) OVER (PARTITION BY node ORDER BY idx) AS h FROM merged) SELECT idx, term, count(DISTINCT h) AS prefixes FROM r GROUP BY ALL HAVING count(DISTINCT h) > 1")(
+register("raft_invariant_log_matching", RAFT + ", r AS (SELECT idx, term, sum(hash(idx * 1000003 + term)) OVER (PARTITION BY node ORDER BY idx) AS h FROM merged) SELECT idx, term, count(DISTINCT h) AS prefixes FROM r GROUP BY ALL HAVING count(DISTINCT h) > 1")(
     lambda spark, sf_dir: raft.log_matching(raft.merged(schema.leader_log(spark, sf_dir), schema.follower_logs(spark, sf_dir)))
 )
-register("raft_proposal_outcome", RAFT + "SELECT l.idx, CASE WHEN f.idx IS NULL THEN 'pending' WHEN f.term = l.term THEN 'committed' ELSE 'superseded' END AS outcome FROM leader l LEFT JOIN followers f ON f.idx = l.idx AND f.node = 2")(
-    lambda spark, sf_dir: schema.leader_log(spark, sf_dir).join(schema.follower_logs(spark, sf_dir).where("node = 2").select("idx", F.col("term").alias("t")), "idx", "left")
-    .select("idx", F.expr("case when t is null then 'pending' when t = term then 'committed' else 'superseded' end").alias("outcome"))
-)
+register("raft_proposal_outcome", RAFT + "SELECT l.idx, CASE WHEN l.idx > n - 400 THEN 'ErrProposeTimeout' WHEN l.idx >= 500 AND f.term = l.term THEN 'ok' ELSE 'ErrProposalLost' END AS outcome FROM leader l JOIN total ON true LEFT JOIN followers f ON f.idx = l.idx AND f.node = 2")(
+    lambda spark, sf_dir: _outcomes(spark, sf_dir)
+)
+
+
+def _outcomes(spark, sf_dir):
+    """What clients of node 2 learn of the leader's proposals; its first 499 entries are compacted away, its last 400 not applied."""
+    log = schema.leader_log(spark, sf_dir)
+    return raft.outcomes(log, schema.follower_logs(spark, sf_dir).where("node = 2"), log.count() - 400, 500).select("idx", "outcome")
+
+
+register("raft_violated_log_matching", RAFT + ", bad AS (SELECT node, idx, CASE WHEN idx = 1000 * node THEN 0 ELSE term END AS term FROM followers WHERE node < 3), r AS (SELECT idx, term, sum(hash(idx * 1000003 + term)) OVER (PARTITION BY node ORDER BY idx) AS h FROM bad) SELECT idx, term, count(DISTINCT h) AS prefixes FROM r GROUP BY ALL HAVING count(DISTINCT h) > 1")(
+    lambda spark, sf_dir: raft.log_matching(schema.follower_logs(spark, sf_dir).where("node < 3").withColumn("term", F.expr("if(idx = 1000 * node, 0, term)")))
+)
+register("raft_violated_leader_per_term", "WITH b AS (SELECT o_orderkey // 100 AS term, o_custkey % 3 AS candidate FROM orders) SELECT term, count(DISTINCT candidate) AS leaders FROM b GROUP BY term HAVING count(DISTINCT candidate) > 1")(
+    lambda spark, sf_dir: raft.two_leaders(schema.table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 100").alias("term"), F.expr("o_custkey % 3").alias("node")))
+)
 
 
 def _logs(spark, sf_dir):
@@ -196,7 +240,7 @@ def _logs(spark, sf_dir):
 register("raft_divergent_entries", RAFT + "SELECT idx, count(DISTINCT term) AS terms FROM (SELECT idx, term FROM followers UNION ALL SELECT idx, term FROM leader) GROUP BY idx HAVING count(DISTINCT term) > 1")(
     lambda spark, sf_dir: raft.divergent(schema.follower_logs(spark, sf_dir).select("idx", "term").union(schema.leader_log(spark, sf_dir)))
 )
-register("raft_invariant_logs_identical", RAFT + ", merged AS (SELECT node, l.idx, l.term FROM ends, leader l) SELECT idx, count(DISTINCT term) AS terms FROM merged GROUP BY idx HAVING count(DISTINCT term) > 1")(
+register("raft_invariant_logs_identical", RAFT + "SELECT idx, count(DISTINCT term) AS terms FROM merged GROUP BY idx HAVING count(DISTINCT term) > 1")(
     lambda spark, sf_dir: raft.divergent(raft.merged(*_logs(spark, sf_dir)))
 )
 register("raft_invariant_committed_stable", RAFT + ", seen AS (SELECT f.idx, f.term FROM followers f JOIN ends USING (node) WHERE f.idx <= match UNION ALL SELECT idx, term FROM leader) SELECT idx, count(DISTINCT term) AS terms FROM seen GROUP BY idx HAVING count(DISTINCT term) > 1")(
@@ -260,19 +304,7 @@ register("lin_history_stats", HISTORY + "SELECT k, count(*) AS operations, sum((
 )
 
 
-@register("lin_check", "SELECT (user_id % 40)::VARCHAR AS key, true AS ok, count(*) AS operations FROM events GROUP BY ALL")
-def _lin_check(spark, sf_dir):
-    """The full search on the history in which each operation takes effect at its start."""
-    from pyspark.sql import Window
-
-    h = schema.history(spark, sf_dir)
-    w = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("kind") != "get", F.struct("kind", "id")), True).over(w)
-    rows = h.withColumn("last", last).withColumn("found", F.coalesce(F.col("last.kind") == "put", F.lit(False)))
-    return linearize.check(rows.select(
-        F.col("k").cast("string").alias("key"), F.col("id").alias("op_id"), "kind", F.lit(True).alias("ok"), F.col("s").alias("start_ns"), F.col("e").alias("end_ns"),
-        F.when(F.col("kind") == "put", F.col("id").cast("string")).alias("arg"), "found", F.when(F.col("found"), F.col("last.id").cast("string")).alias("data"),
-    ))
+register("lin_check", "SELECT (user_id % 40)::VARCHAR AS key, true AS ok, count(*) AS operations FROM events GROUP BY ALL")(lambda spark, sf_dir: linearize.check(_register_history(spark, sf_dir)))
 
 
 _TORN = OPLOG + """SELECT 'seg' || (seq // 512) AS path, seq % 512 AS n, op, k, v FROM oplog
@@ -287,7 +319,58 @@ def _wal_recover(spark, sf_dir):
     return codecs.recover(logs.withColumn("content", torn)).select("path", "n", "op", F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"))
 
 
-@register("test_matrix", "WITH e AS (SELECT 's' || conv_id % 5 AS suite, 't' || conv_id AS test, CASE turn % 4 WHEN 0 THEN 'run' WHEN 1 THEN 'pass' WHEN 2 THEN 'skip' ELSE 'fail' END AS action FROM conversations) SELECT suite, test, CASE max(CASE action WHEN 'fail' THEN 3 WHEN 'skip' THEN 2 WHEN 'pass' THEN 1 ELSE 0 END) WHEN 3 THEN 'fail' WHEN 2 THEN 'skip' WHEN 1 THEN 'pass' ELSE 'missing' END AS status, count(*) AS events FROM e GROUP BY ALL")
+@register("test_matrix", "WITH e AS (SELECT 's' || conv_id % 5 AS suite, 't' || conv_id AS test, turn, CASE turn % 4 WHEN 0 THEN 'run' WHEN 1 THEN 'pass' WHEN 2 THEN 'output' ELSE 'fail' END AS action FROM conversations) SELECT suite, test, coalesce(arg_max(action, turn) FILTER (action IN ('pass', 'fail', 'skip')), 'missing') AS status, count(*) AS events FROM e GROUP BY ALL")
 def _test_matrix(spark, sf_dir):
     c = schema.table(spark, sf_dir, "conversations")
-    return faults.test_matrix(c.select(F.expr("concat('s', conv_id % 5)").alias("suite"), F.expr("concat('t', conv_id)").alias("test"), F.expr("element_at(array('run', 'pass', 'skip', 'fail'), int(turn % 4) + 1)").alias("action")))
+    action = F.expr("element_at(array('run', 'pass', 'output', 'fail'), int(turn % 4) + 1)").alias("action")
+    return faults.test_matrix(c.select(F.expr("concat('s', conv_id % 5)").alias("suite"), F.expr("concat('t', conv_id)").alias("test"), F.col("turn").alias("pos"), action))
+
+
+def _register_history(spark, sf_dir):
+    """The history in which each operation takes effect at its start, as rows of the checker."""
+    from pyspark.sql import Window
+
+    h = schema.history(spark, sf_dir)
+    w = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("kind") != "get", F.struct("kind", "id")), True).over(w)
+    rows = h.withColumn("last", last).withColumn("found", F.coalesce(F.col("last.kind") == "put", F.lit(False)))
+    return rows.select(
+        F.col("k").cast("string").alias("key"), F.col("id").alias("op_id"), "kind", F.lit(True).alias("ok"), F.col("s").alias("start_ns"), F.col("e").alias("end_ns"),
+        F.when(F.col("kind") == "put", F.col("id").cast("string")).alias("arg"), "found", F.when(F.col("found"), F.col("last.id").cast("string")).alias("data"),
+    )
+
+
+def _corrupted_history(spark, sf_dir):
+    """Keys divisible by 4 read back a value that nobody wrote, once for each operation whose id is divisible by 50."""
+    bad = F.expr("kind = 'get' and op_id % 50 = 1 and key % 4 = 0")
+    return _register_history(spark, sf_dir).withColumns({"found": F.expr("found") | bad, "data": F.when(bad, "never").otherwise(F.col("data"))})
+
+
+_BAD_KEYS = "SELECT DISTINCT user_id % 40 AS k FROM events WHERE event_id % 50 = 1 AND user_id % 4 = 0 AND NOT (event_id % 3 = 0 OR event_id % 3 = 2 AND event_id % 2 = 0)"
+register("lin_check_corrupted", f"SELECT (user_id % 40)::VARCHAR AS key, user_id % 40 NOT IN ({_BAD_KEYS}) AS ok, count(*) AS operations FROM events GROUP BY ALL")(
+    lambda spark, sf_dir: linearize.check(_corrupted_history(spark, sf_dir))
+)
+register(
+    "lin_violation_dump",
+    HISTORY + f""", o AS (SELECT h.id, h.k, h.kind, s, e, CASE WHEN h.id % 50 = 1 AND h.k % 4 = 0 THEN 'never' ELSE (SELECT CASE WHEN kind = 'put' THEN wl.id::VARCHAR END FROM wl WHERE wl.k = h.k AND wl.id < h.id ORDER BY wl.id DESC LIMIT 1) END AS seen
+  FROM h WHERE k IN ({_BAD_KEYS})),
+t AS (SELECT *, '[' || strftime(make_timestamp(s // 1000), '%H:%M:%S.%f') || ' .. ' || strftime(make_timestamp(e // 1000), '%H:%M:%S.%f') || '] ' AS span FROM o)
+SELECT k::VARCHAR AS key, row_number() OVER (PARTITION BY k ORDER BY s, id)::INTEGER AS n, span || rpad(CASE kind WHEN 'put' THEN 'PUT   arg="' || id || '"' WHEN 'delete' THEN 'DELETE'
+  ELSE 'GET   result=' || coalesce('"' || seen || '"', 'absent') END, 32, ' ') || ' (ok)' AS line FROM t""",
+)(lambda spark, sf_dir: _dump(spark, sf_dir))
+
+
+def _dump(spark, sf_dir):
+    history = _corrupted_history(spark, sf_dir)
+    return linearize.dump(history, linearize.check(history).where("not ok"))
+
+
+simple("kv_ordered_scan", fold.ordered, "SELECT k, seq, op, v FROM newest")
+simple("kv_is_empty", lambda log: fold.is_empty(log), "SELECT count(*) = 0 AS empty FROM newest WHERE op = 'put'")
+simple(
+    "kv_engine_stats", lambda log: fold.stats(log, F.col("run") >= 6),
+    "SELECT count(DISTINCT run) FILTER (run < 6) AS sstables, coalesce(sum(length(k) + CASE WHEN op = 'delete' THEN 1 ELSE length(v) END + 64) FILTER (run >= 6), 0)::BIGINT AS approx_size, count(DISTINCT k) FILTER (run >= 6) AS memtable_len FROM oplog",
+)
+simple("memtable_sizes", lambda log: log.select("seq", fold.entry_size().alias("bytes")), "SELECT seq, (length(k) + CASE WHEN op = 'delete' THEN 1 ELSE length(v) END + 64)::BIGINT AS bytes FROM oplog")
+simple("merge_interleaved", lambda log: fold.merge(log.where("run in (1, 6)"), True).orderBy("k"), "SELECT k, seq, op, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM oplog WHERE run IN (1, 6)) WHERE r = 1 AND op = 'put'")
+simple("merge_of_nothing", lambda log: fold.merge(log.where("run < 0"), False), "SELECT k, seq, op, v FROM oplog WHERE run < 0")

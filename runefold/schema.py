@@ -34,12 +34,15 @@ def leader_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def follower_logs(spark: SparkSession, sf_dir: str, followers: int = 4) -> DataFrame:
-    """Each node stops short by 137 entries times its number and has a stale term on its tail."""
+    """Each node stops short by 137 entries times its number and has a stale term on its tail; one more node is 50 entries ahead."""
     log = leader_log(spark, sf_dir)
-    n = F.broadcast(log.agg(F.count(F.lit(1)).alias("n")))
-    nodes = log.crossJoin(n).withColumn("node", F.explode(F.sequence(F.lit(1), F.lit(followers))))
-    nodes = nodes.where("idx <= n - node * 137")
-    return nodes.select("node", "idx", F.expr("if(idx > n - node * 300, term - 1, term)").alias("term"))
+    n = F.broadcast(log.agg(F.count(F.lit(1)).alias("n"), F.max("term").alias("top")))  # one row
+    nodes = log.join(n).withColumn("node", F.explode(F.sequence(F.lit(1), F.lit(followers + 1))))
+    ahead = nodes.where(F.col("node") == followers + 1)
+    nodes = nodes.where(F.col("node") <= followers).where("idx <= n - node * 137")
+    nodes = nodes.select("node", "idx", F.expr("if(idx > n - node * 300, term - 1, term)").alias("term"))
+    extra = spark.range(1, 51).join(n).select(F.lit(followers + 1).alias("node"), F.expr("n + id").alias("idx"), F.col("top").alias("term"))
+    return nodes.unionByName(ahead.select("node", "idx", "term")).unionByName(extra)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,7 +114,7 @@ def test_commit_and_conflicts(spark):
     follower = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 2), (1, 4, 2)], "node int, idx long, term long")
     assert raft.first_conflict(leader, follower).first()["conflict"] == 2
     assert raft.match_index(leader, follower).first()["match"] == 1
-    hint = raft.conflict_hint(leader, follower).first()
+    hint = raft.conflict_hint(follower, spark.createDataFrame([(1, 3, 5)], "node int, prev long, prev_term long")).first()
     assert (hint["conflict_term"], hint["conflict_index"]) == (2, 2)
     assert sorted(tuple(r)[1:] for r in raft.merged(leader, follower).collect()) == [(1, 1), (2, 5), (3, 5)]
 
@@ -194,6 +194,75 @@ def test_stream_apply(spark, tmp_path):
     assert store.entries().where(F.col("op") == "delete").count() == 1
 
 
+def test_a_log_that_is_longer_without_conflict_is_kept(spark):
+    leader = spark.createDataFrame([(1, 1), (2, 1)], "idx long, term long")
+    follower = spark.createDataFrame([(1, i, 1) for i in (1, 2, 3)] + [(2, 1, 1), (2, 2, 1), (2, 3, 1), (2, 4, 1)], "node int, idx long, term long")
+    assert raft.first_conflict(leader, follower).count() == 0
+    assert sorted(tuple(r) for r in raft.merged(leader, follower).collect()) == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (2, 1, 1), (2, 2, 1), (2, 3, 1), (2, 4, 1)]
+    probes = spark.createDataFrame([(1, 9, 4), (2, 2, 1)], "node int, prev long, prev_term long")
+    assert [tuple(r) for r in raft.conflict_hint(follower, probes).collect()] == [(1, 9, 0, 4)]
+
+
+def test_conflict_hint_names_the_first_index_of_the_term(spark):
+    follower = spark.createDataFrame([(1, i, 1 if i == 1 else 2) for i in range(1, 41)], "node int, idx long, term long")
+    assert tuple(raft.conflict_hint(follower, spark.createDataFrame([(1, 40, 7)], "node int, prev long, prev_term long")).first()) == (1, 40, 2, 2)
+
+
+def test_log_matching_fires_on_logs_that_agree_again(spark):
+    logs = [(1, i, 1) for i in range(1, 30)] + [(2, i, 0 if i == 9 else 1) for i in range(1, 30)]
+    found = raft.log_matching(spark.createDataFrame(logs, "node int, idx long, term long"), block=4)
+    assert sorted(r["idx"] for r in found.collect()) == list(range(10, 30))
+
+
+def test_commit_never_falls_and_outcomes(spark):
+    m = spark.createDataFrame([("a", n, 1) for n in range(3)] + [("b", n, 2) for n in range(3)], "g string, node int, match long")
+    log = spark.createDataFrame([(1, 1), (2, 3)], "idx long, term long")
+    before = spark.createDataFrame([("a", 1), ("b", 0)], "g string, before long")
+    assert {r["g"]: r["commit"] for r in raft.guarded_commit(m, log, "g", raft.quorum(3), 3, before).collect()} == {"a": 1, "b": 2}
+    proposals = spark.createDataFrame([(1, 1), (2, 2), (2, 3), (9, 3)], "idx long, term long")
+    assert [r["outcome"] for r in raft.outcomes(proposals, log, 5).orderBy("idx", "term").collect()] == ["ok", "ErrProposalLost", "ok", "ErrProposeTimeout"]
+
+
+def test_unknown_writes_end_as_recorded_unless_open():
+    ops = [P("1", 0, 10), P("2", 20, 30, False), G("1", 40, 50), G("2", 60, 70)]
+    assert linearize.check_register(ops) is False and linearize.check_register(ops, "open") is True
+
+
+def test_long_histories_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        ops = [P(str(i // 2), 10 * i, 10 * i + 9) if i % 2 == 0 else G(str(i // 2), 10 * i, 10 * i + 9) for i in range(n)]
+        began = time.perf_counter()
+        assert linearize.check_register(ops)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
+
+
+def test_stale_reads_by_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    writes = [(rng.randrange(3), i, rng.choice(["put", "put", "delete"]), t := rng.randrange(400), t + rng.randrange(30)) for i in range(150)]
+    gets = [(rng.randrange(3), 1000 + i, t := rng.randrange(450), t + 5, rng.randrange(150)) for i in range(200)]
+    expect = {(k, i) for k, i, s, e, o in gets for k1, i1, kind, s1, e1 in writes if (k1, i1, kind) == (k, o, "put") and any(k2 == k and e1 < s2 and e2 < s for k2, _, _, s2, e2 in writes)}
+    w = spark.createDataFrame(writes, "k long, id long, kind string, s long, e long")
+    g = spark.createDataFrame(gets, "k long, id long, s long, e long, obs long")
+    assert {tuple(r) for r in linearize.stale_reads(w, g).collect()} == expect and expect
+
+
+def test_overlaps_take_keys_of_any_kind(spark):
+    files = [(1, 0, "a", "m"), (2, 1, "k", "z"), (3, 1, "n", "o"), (4, 1, "", "a")]
+    assert sorted(tuple(r) for r in manifest.overlaps(spark.createDataFrame(files, schema.FILE)).collect()) == [(1, 2, 0), (1, 4, 0)]
+
+
+def test_last_event_of_a_test_counts(spark):
+    events = [("s", "t", 0, "fail"), ("s", "t", 1, "pass"), ("s", "t", 2, "output"), ("s", "u", 0, "run")]
+    found = {r["test"]: (r["status"], r["events"]) for r in faults.test_matrix(spark.createDataFrame(events, "suite string, test string, pos long, action string")).collect()}
+    assert found == {"t": ("pass", 3), "u": ("missing", 1)}
+
+
 def test_up_to_date_compares_term_then_length(spark):
     ends = [(3, 2), (9, 2), (1, 2), (1, 5), (99, 1), (0, 0)]
     rows = spark.createDataFrame([(i, t, 3, 2) for i, t in ends], "i long, t long, own_i long, own_t long")
