@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import blocks, map_text, string_buffer
 
 #: Text bytes that are encoded together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Unicode White_Space, which \s stands for in the library's patterns.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NONE = np.int32(2**31 - 1)
@@ -100,7 +100,7 @@ class MergeReplay:
         return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a})
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        code = left << 32 | right
+        code = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.codes, code)
         at[at == len(self.codes)] = 0
         return np.where(self.codes[at] == code, self.code_ranks[at], _NONE)
@@ -129,8 +129,8 @@ class MergeReplay:
         n = len(symbol)
         if not n:
             return symbol, owner
-        symbol = symbol.copy()
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        symbol, owner = symbol.astype(np.int32), owner.astype(np.int32)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         last = np.append(owner[1:] != owner[:-1], True)
         after[last] = -1
         before[np.append(True, last[:-1])] = -1

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, map_text, string_buffer
+from .common import blocks, map_arrow, map_text, string_buffer
 
 BUCKETS = 4096
 CENTROIDS = 4
@@ -141,7 +141,7 @@ def train(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BUCKETS), pa.int32()), pa.array(np.append(n, total), pa.int64())], names=["bucket", "n"])
 
     # BUCKETS + 1 rows reach the driver, whatever the input
-    found = rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    found = map_arrow(rows.select("text"), frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df_counts = np.zeros(BUCKETS + 1, np.int64)
     for bucket, n in found:
         df_counts[bucket + 1] = n
@@ -168,7 +168,7 @@ def train(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
                 )
 
     langs, centroids, far = [], [], []
-    sampled = rows.where(pick).select("text", "lang").mapInArrow(features, "lang string, n long, cells binary, tf binary").distinct()
+    sampled = map_arrow(rows.where(pick).select("text", "lang"), features, "lang string, n long, cells binary, tf binary").distinct()
     got = sorted(((r["lang"], r["n"], bytes(r["cells"]), bytes(r["tf"])) for r in sampled.collect()), key=lambda r: (r[0], r[1], r[2], r[3]))
     for name in names:
         own = [r for r in got if r[0] == name and r[1] > 0]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, map_text, scratch, spread_join, stored, string_buffer
+from .common import blocks, map_arrow, map_text, scratch, spread_join, stored, string_buffer
 
 BINS = 256
 ROWS = 5
@@ -217,7 +217,7 @@ def consensus(members: DataFrame, sets: DataFrame) -> DataFrame:
                 times.append(counts[~half].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, pa.binary()) for v in (out, others, times)]], names=["family", "__c", "others", "held"])
 
-    return held.mapInArrow(run, "family long, __c binary, others binary, held binary")
+    return map_arrow(held, run, "family long, __c binary, others binary, held binary")
 
 
 def _common(a: pa.Scalar, b: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +242,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(rows, run, "a long, b long").distinct()
 
 
 _NARROW = "parent long, family long, x long, comp long, n long, weight long, slack long"
@@ -305,7 +305,7 @@ def narrowed(rows: DataFrame, percent: int) -> DataFrame:
                 made = pa.array(np.concatenate([made for made, _, _ in part]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(old[0]), made, *map(pa.array, old[1:]), slacks], names=["parent", "family", "x", "comp", "n", "weight", "slack"])
 
-    return rows.mapInArrow(run, _NARROW)
+    return map_arrow(rows, run, _NARROW)
 
 
 def bitmaps(made: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _Slots, blocks, gather, latin_classes
-from .common import new_path, string_buffer
+from .common import map_arrow, new_path, string_buffer
 
 MAGIC = b"RFP1"
 BLOCK = 128
@@ -284,7 +284,7 @@ def write(df: DataFrame, vocabulary: str, end_id: int, doc_id: str = "doc_id", t
         if held:
             yield flush()
 
-    rows.mapInArrow(run, SEGMENTS).write.option("compression", "none").parquet(path)
+    map_arrow(rows, run, SEGMENTS).write.option("compression", "none").parquet(path)
     return path
 
 
@@ -317,5 +317,5 @@ def read_documents(spark, path: str) -> DataFrame:
                     names=["shard", "doc_id", "place", "n_tokens", "ids_crc32"],
                 )
 
-    rows = segments.select("shard", "data").mapInArrow(run, DOCUMENTS)
+    rows = map_arrow(segments.select("shard", "data"), run, DOCUMENTS)
     return rows.join(bases, "shard").select("doc_id", (F.col("place") + F.col("__base")).alias("start"), "n_tokens", "ids_crc32")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import map_arrow, new_path, stored
 
 CHUNK = 64 << 10
 LEAST = 100
@@ -104,7 +104,7 @@ def write(df: DataFrame, key: str = "page_id", url: str = "url", payload: str =
         if held:
             yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r)) for r in held], _SCHEMA)
 
-    out.mapInArrow(run, CHUNKS).write.option("compression", "zstd").parquet(path)
+    map_arrow(out, run, CHUNKS).write.option("compression", "zstd").parquet(path)
     return path
 
 
@@ -162,12 +162,12 @@ def records(spark, path: str) -> DataFrame:
     scan tasks cuts are read again, dealt by record and sorted.
     """
     out = RECORDS + ", broken string"
-    read = stored(read_chunks(spark, path).mapInArrow(_read, out), "warc-records")
+    read = stored(map_arrow(read_chunks(spark, path), _read, out), "warc-records")
     whole = read.where("broken is null").drop("broken")
     cut = read.where("broken is not null").select(F.col("broken").alias("record_id")).distinct()
     if cut.isEmpty():
         return whole
     again = read_chunks(spark, path).join(cut, "record_id", "left_semi").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
-    mended = again.mapInArrow(_read, out)
+    mended = map_arrow(again, _read, out)
     sound = F.when(F.col("broken").isNotNull(), F.raise_error(F.concat(F.lit("record is not whole: "), "broken"))).otherwise(F.lit(True))
     return whole.union(mended.where(sound.cast("boolean")).drop("broken"))
