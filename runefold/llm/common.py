@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -19,12 +20,14 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (local tests) a temporary folder is made and set.
+    Only where a local session names none (tests) a temporary folder is made and set; a cluster must name one.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         place = spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names the folder that the cluster shares")
         place = "file://" + tempfile.mkdtemp(prefix="runefold-shared-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
@@ -35,18 +38,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_scratch: list[list[str]] = []
+_local = threading.local()
+
+
+def _scratch() -> list[list[str]]:
+    """The tables to be removed of each ``scratch`` that this thread is in."""
+    if not hasattr(_local, "places"):
+        _local.places = []
+    return _local.places
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that ``stored`` writes inside are removed at the end; a result must be written with ``keep`` before."""
-    _scratch.append([])
+    _scratch().append([])
     try:
         yield
     finally:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for place in _scratch.pop():
+        for place in _scratch().pop():
             path(place).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(place), True)
 
 
@@ -54,8 +64,8 @@ def stored(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) ->
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if _scratch() and not keep:
+        _scratch()[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
