@@ -19,8 +19,8 @@ def orphans(present: DataFrame, live: DataFrame) -> DataFrame:
     return present.join(live, "number", "left_anti")
 
 
-def cells(files: DataFrame, ranges: int = 512) -> DataFrame:
-    """``files`` with ``cell``, a row for each of the key ranges that a file's range touches: files that meet share one.
+def cells(files: DataFrame, ranges: int = 128) -> DataFrame:
+    """``files`` with ``cell``, a row for each of the key ranges that a file's range touches, and the ``first`` of them: files that meet share one.
 
     The key space is cut at about ``ranges`` of the files' own least keys, which are the only thing the driver sees.
     Any ordered key type will do.
@@ -28,7 +28,7 @@ def cells(files: DataFrame, ranges: int = 512) -> DataFrame:
     cuts = sorted({r[0] for r in files.select("min_key").where("min_key is not null").repartitionByRange(ranges, "min_key").groupBy(F.spark_partition_id()).agg(F.min("min_key")).select("min(min_key)").collect()})
     bounds = F.array(*[F.lit(c) for c in cuts])
     place = lambda c: F.size(F.filter(bounds, lambda b: b <= F.col(c)))
-    return files.withColumn("cell", F.explode(F.sequence(place("min_key"), place("max_key"))))
+    return files.withColumns({"first": place("min_key"), "last": place("max_key")}).withColumn("cell", F.explode(F.sequence("first", "last"))).drop("last")
 
 
 def _meet(lower: Column) -> Column:
@@ -42,11 +42,9 @@ def overlaps(files: DataFrame) -> DataFrame:
     An equality join on cells; a pair that shares several counts in the first.
     """
     rows = cells(files)
-    a = rows.select(F.col("number").alias("upper"), F.col("level").alias("lv"), F.col("min_key").alias("a_min"), F.col("max_key").alias("a_max"), "cell")
-    b = rows.select(F.col("number").alias("lower"), (F.col("level") - 1).alias("lv"), F.col("min_key").alias("b_min"), F.col("max_key").alias("b_max"), "cell")
-    first = rows.groupBy("number").agg(F.min("cell").alias("first"))
+    a = rows.select(F.col("number").alias("upper"), F.col("level").alias("lv"), F.col("min_key").alias("a_min"), F.col("max_key").alias("a_max"), F.col("first").alias("fa"), "cell")
+    b = rows.select(F.col("number").alias("lower"), (F.col("level") - 1).alias("lv"), F.col("min_key").alias("b_min"), F.col("max_key").alias("b_max"), F.col("first").alias("fb"), "cell")
     both = a.join(b, ["lv", "cell"]).where(_meet(F.lit(True)))
-    both = both.join(first.select(F.col("number").alias("upper"), F.col("first").alias("fa")), "upper").join(first.select(F.col("number").alias("lower"), F.col("first").alias("fb")), "lower")
     return both.where(F.col("cell") == F.greatest("fa", "fb")).select("upper", "lower", F.col("lv").alias("level"))
 
 
