@@ -43,7 +43,7 @@ SEGMENT_TOKENS = 1 << 18
 #: Text bytes that are tokenized together.
 TEXT_BYTES = 6 << 20
 #: Words whose ids a task keeps from one block to the next, and lines that the library encodes at a time.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 800_000
 LINES = 32
 _HEAD = struct.Struct("<4sIIIQ")
 
