@@ -136,6 +136,19 @@ def test_audio_stores_resampled_pcm(spark, odd, monkeypatch):
         assert r["feature"] == f"{r['codec']}:rate=2000,{audio.measures(have)},pcm={hashlib.sha256(have.tobytes()).hexdigest()[:16]}"
 
 
+def test_audio_query_stores_pcm_at_the_operators_rate(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(audio, "stored", lambda *a, keep=audio.stored, **k: tables.append(keep(*a, **k)) or tables[-1])
+    rows = {r["doc_id"]: r for r in queries.op3_audio(spark, SF).collect()}
+    heard = {r["doc_id"]: r for r in spark.read.parquet(*tables[1].inputFiles()).collect()}
+    assert len(heard) == len(rows) == len({r["doc_id"] for r in queries.table(spark, SF, "documents").collect()})
+    for k, r in heard.items():
+        made = r["payload_bytes"] // 64 * 121 if r["codec"] == "adpcm" else r["payload_bytes"]
+        samples = np.frombuffer(r["pcm"], "<i2")
+        assert len(samples) == -(-made * (audio.RATE // 2) // audio.RATE)
+        assert rows[k]["feature"] == f"{r['codec']}:rate=4000,{audio.measures(samples)},pcm={hashlib.sha256(samples.tobytes()).hexdigest()[:16]}"
+
+
 def shingle_set(text, width):
     lowered = "".join(c.lower() if c.isascii() else c for c in text or "")
     words = [w for w in "".join("\x20" if c in "\t\n\x0b\x0c\r" else c for c in lowered).split("\x20") if w]
