@@ -70,6 +70,16 @@ def stored(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ids(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` for tables that are a few hundredths of the texts or sets that share the setting, in fewer files.
+
+    Each file costs the executor that writes it a few processes where Hadoop sets permissions by ``chmod`` (``file:`` without
+    native code), and a process that starts shows for a moment all of the JVM's memory as its own.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.coalesce(max(8, parts // 4)), name)
+
+
 #: Rows up to which ``spread_join`` broadcasts.
 BROADCAST_ROWS = 200_000
 

@@ -31,7 +31,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread_join, stored
+from .common import ids, spread_join
 
 WIDTH = 5
 BLOCKS, NEAR = 5, 2
@@ -136,7 +136,7 @@ def window_starts(percent: int) -> Column:
 
 def windows_of(texts: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """key, length, width, start, wkey, w of all windows of ``texts`` (key, text) that have shingles enough of items of their length."""
-    entries = stored(items.select("length", "width", F.explode(own_shingles()).alias("h")).distinct(), "item-shingles")
+    entries = ids(items.select("length", "width", F.explode(own_shingles()).alias("h")).distinct(), "item-shingles")
     widths = sorted(r["width"] for r in entries.select("width").distinct().collect())  # 1 to WIDTH at most
     if entries.count() <= BROADCAST_SHINGLES:
         entries = F.broadcast(entries)
@@ -149,23 +149,23 @@ def windows_of(texts: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     # equal texts have equal hits, which are dropped before they are dealt
     places = found.groupBy("key", "n", "length", "width").agg(F.sort_array(F.collect_set("p")).alias("hits"))
     places = places.select("key", "length", "width", window_starts(percent).alias("starts")).where("size(starts) > 0")
-    places = stored(places, "window-places")
-    keys = stored(places.select("key").distinct(), "window-texts")
+    places = ids(places, "window-places")
+    keys = ids(places.select("key").distinct(), "window-texts")
     whole = spread_join(texts, keys, ["key"]).groupBy("key").agg(F.any_value("text").alias("text"))
     rows = whole.select("key", words(F.col("text")).alias("w")).join(places, "key").select("key", "length", "width", "w", F.explode("starts").alias("start"))
     rows = rows.select("key", "length", "width", "start", F.expr("slice(w, start + 1, length)").alias("w"))
-    return stored(rows.withColumn("wkey", F.md5(F.concat_ws(" ", F.col("length").cast("string"), F.array_join("w", " ")).cast("binary"))), "windows")
+    return ids(rows.withColumn("wkey", F.md5(F.concat_ws(" ", F.col("length").cast("string"), F.array_join("w", " ")).cast("binary"))), "windows")
 
 
 def candidates(windows: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """wkey, ikey, s, t of the pairs that the fingerprints or, beyond ``RADIUS``, the rare shingles find; each pair once."""
     left = windows.select("*", F.explode(own_blocks("f")).alias("b")).select("*", "b.block", "b.bits").drop("b")
     right = items.select("ikey", "length", "g", "t", F.explode(near_blocks("g")).alias("b")).select("ikey", "length", "g", "t", "b.block", "b.bits")
-    right = stored(right, "item-blocks")
+    right = ids(right, "item-blocks")
     distance = F.bit_count(F.col("f").bitwiseXOR(F.col("g")))
     close = spread_join(left, right, ["length", "block", "bits"]).where(distance <= RADIUS)
     close = close.where(first_block() == F.col("block"))  # a pair that meets in several blocks counts in the first
-    rare = stored(rare_shingles(items, percent), "item-rare")
+    rare = ids(rare_shingles(items, percent), "item-rare")
     sharing = windows.select("*", F.explode(F.array_distinct("s")).alias("h"))
     far = spread_join(sharing, rare, ["length", "h"]).where(distance > RADIUS)
     return close.select("wkey", "ikey", "s", "t").union(far.select("wkey", "ikey", "s", "t"))
@@ -173,17 +173,17 @@ def candidates(windows: DataFrame, items: DataFrame, percent: int) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame, percent: int, text: str, item_id: str, item_text: str) -> DataFrame:
     """key (of a text), item_id, similarity and start of the best window, stored."""
-    items = stored(items_of(benchmark, item_id, item_text), "items")
+    items = ids(items_of(benchmark, item_id, item_text), "items")
     texts = docs.select(F.col(f"`{text}`").alias("text")).withColumn("key", text_key(F.col("text")))
     places = windows_of(texts, items, percent)
     contents = places.dropDuplicates(["wkey"]).select("wkey", "length", fingerprint().alias("f"), own_shingles().alias("s"))
-    contents = stored(contents, "fingerprints")
-    known = stored(items.dropDuplicates(["ikey"]).select("ikey", "length", fingerprint().alias("g"), own_shingles().alias("t")), "item-fingerprints")
+    contents = ids(contents, "fingerprints")
+    known = ids(items.dropDuplicates(["ikey"]).select("ikey", "length", fingerprint().alias("g"), own_shingles().alias("t")), "item-fingerprints")
     verified = candidates(contents, known, percent).withColumn("similarity", similarity()).where(F.col("similarity") * 100 >= percent)
-    verified = stored(verified.select("wkey", "ikey", "similarity").distinct(), "verified")
+    verified = ids(verified.select("wkey", "ikey", "similarity").distinct(), "verified")
     best = spread_join(places.select("key", "wkey", "start"), verified, ["wkey"]).groupBy("key", "ikey").agg(F.max(F.struct("similarity", "start")).alias("best"))
     named = best.join(items.select("ikey", "item_id").distinct(), "ikey")
-    return stored(named.select("key", "item_id", "best.similarity", "best.start"), "leaks")
+    return ids(named.select("key", "item_id", "best.similarity", "best.start"), "leaks")
 
 
 def leaks(
@@ -199,4 +199,4 @@ def leaks(
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no item."""
     found = matches(docs, benchmark, percent, text, item_id, item_text).select(F.col("key").alias("__rf_key")).distinct()
-    return spread_join(docs.withColumn("__rf_key", text_key(F.col(f"`{text}`"))), stored(found, "leaking"), ["__rf_key"], "left_anti").drop("__rf_key")
+    return spread_join(docs.withColumn("__rf_key", text_key(F.col(f"`{text}`"))), ids(found, "leaking"), ["__rf_key"], "left_anti").drop("__rf_key")

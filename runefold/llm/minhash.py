@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, map_arrow, map_text, scratch, spread_join, stored, string_buffer
+from .common import blocks, ids, map_arrow, map_text, scratch, spread_join, stored, string_buffer
 
 BINS = 256
 ROWS = 5
@@ -189,12 +189,6 @@ def hashed_sets(df: DataFrame, width: int, text: str, keep: list[str]) -> DataFr
     return map_text(df, [T.StructField("shingles", T.BinaryType(), False)], make, text, keep)
 
 
-def ids(df: DataFrame, name: str) -> DataFrame:
-    """``stored`` for tables of a few numbers a row, in fewer files: they are a hundredth of the sets that share the setting."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(df.coalesce(max(8, parts // 4)), name)
-
-
 def _of(sets: DataFrame, rows: DataFrame, name: str, made: str) -> DataFrame:
     """The sets of the documents in column ``name`` of stored ``rows``; others are left out before they are dealt."""
     return sets.select(F.col("doc").alias(name), F.col("shingles").alias(made)).join(rows.select(name).distinct(), name, "left_semi")
@@ -326,7 +320,7 @@ def smaller(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     outside = rows.where("comp <> main").join(middle, "family").withColumn("seen", F.lit(None).cast("array<struct<word:int,bits:long>>"))
     outside = stored(narrowed(outside, percent), "outside")
     middle = stored(middle.join(bitmaps(outside), "family"), "seen")
-    return stored(narrowed(rows.where("comp = main").join(middle, "family"), percent).union(outside), "narrow")
+    return ids(narrowed(rows.where("comp = main").join(middle, "family"), percent).union(outside), "narrow")
 
 
 def connected(edges: DataFrame) -> DataFrame:

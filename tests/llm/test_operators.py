@@ -1,5 +1,7 @@
 """The training-data operators against brute force, round trips and held-out labels."""
 
+import contextlib
+import glob
 import hashlib
 import math
 import random
@@ -14,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runefold.llm import audio, bpe, decontaminate, langid, minhash, pfor, quality, queries, quotes, urltree, warc
+from runefold.llm import audio, bpe, common, decontaminate, langid, minhash, pfor, quality, queries, quotes, urltree, warc
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " \n\t ", "a", "One two three.", "it's we'll 'S", "Ünï ß² ½ 日本語 🎉 x", "\x1c\x1d\x85\xa0z", "a" * 5000, "ab " * 40000, "<|endoftext|> b"]
@@ -312,6 +314,26 @@ def test_fingerprints_find_nine_in_ten_alike_windows(spark):
     assert share > 0.9 and near == met
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Of 64 partitions a table of windows, items, groups or smaller families is 16 files at most; what grows like the sets may have more."""
+    places = []
+    monkeypatch.setattr(common, "new_path", lambda *a, keep=common.new_path: places.append((a[1], keep(*a))) or places[-1][1])
+    monkeypatch.setattr(minhash, "scratch", lambda _: contextlib.nullcontext())
+    docs, bench = queries.table(spark, SF, "documents"), queries.table(spark, SF, "benchmark")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 64)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = decontaminate.clean(docs, bench).count()
+        kept = minhash.deduplicated(docs).count()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    files = {name: len(glob.glob(f"{place.removeprefix('file://')}/part-*")) for name, place in places}
+    assert 0 < rows < docs.count() and 0 < kept < docs.count() and {"windows", "leaks", "buckets"} <= set(files)
+    assert {name: n for name, n in files.items() if n > 16}.keys() <= {"signatures", "buckets", "members", "sets", "middle", "outside", "seen", "groups"}
+
+
 def test_warc(spark, tmp_path):
     big = "x" * 300_000
     pages = [(3, "http://a/b c", big), (1, "http://é/", big), (2, None, big), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (None, "u", big), (7, "u", ""), (8, "http://a/b%20c%zz%", "x" * 2_000_000)]
