@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions import codecs
-from ..operators import linearize
+from ..operators import faults, linearize
 from ..simulation import cluster, random
 from .registry import register
 
@@ -231,21 +230,11 @@ def _schedules(spark, sf_dir):
     """Thirty records appended through a file that fails once, at the seed's target, and loses all after it; what recovery keeps."""
     import pandas as pd
 
-    def survivors(seed: int, kind: str) -> int:
-        file, dead = b"", False
-        for call in range(1, 31):
-            raw = codecs.encode("put", f"k{call}".encode(), b"v")
-            if call == 1 + seed % 30:
-                dead = True
-                file += raw[: len(raw) // 2] if kind == "TornWrite" else b""
-            elif not dead:
-                file += raw
-        return len(codecs.decode(file))
-
     def run(batches):
+        seen = {}  # a schedule's outcome depends on its target and kind alone: each is played once a task
         for pdf in batches:
-            kinds = ["TornWrite" if s % 2 == 0 else "Fail" for s in pdf["seed"]]
-            yield pd.DataFrame({"seed": pdf["seed"], "target": 1 + pdf["seed"] % 30, "kind": kinds, "survivors": [survivors(int(s), k) for s, k in zip(pdf["seed"], kinds)]})
+            target, kind = 1 + pdf["seed"] % 30, (pdf["seed"] % 2).map({0: "TornWrite", 1: "Fail"})
+            yield pd.DataFrame({"seed": pdf["seed"], "target": target, "kind": kind, "survivors": faults.survivors(target, kind, 30, seen)})
 
     rows = schema.table(spark, sf_dir, "orders").selectExpr("o_orderkey as seed")
     return rows.mapInPandas(run, "seed long, target long, kind string, survivors long")

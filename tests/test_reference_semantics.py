@@ -295,3 +295,16 @@ def test_torn_segments_recover_their_whole_prefix(spark):
     torn = codecs.segments(log, 10).selectExpr("path", "if(path = 'seg1', substr(content, 1, length(content) - 3), content) as content")
     found = sorted((r.path, r.n, r.op, bytes(r.k).decode(), r.v and bytes(r.v).decode()) for r in codecs.recover(torn).collect())
     assert found == sorted((f"seg{i // 10}", i % 10, "delete" if i % 3 == 0 else "put", f"k{i}", None if i % 3 == 0 else f"v{i}") for i in range(30) if i != 19)
+
+
+def test_each_fault_schedule_is_played_once_a_task(monkeypatch):
+    import pandas as pd
+
+    played = []
+    decode = codecs.decode
+    monkeypatch.setattr(codecs, "decode", lambda data: played.append(data) or decode(data))
+    seeds, seen = pd.Series(range(6000)), {}
+    target, kind = 1 + seeds % 30, (seeds % 2).map({0: "TornWrite", 1: "Fail"})
+    assert [faults.survivors(target[a : a + 2000], kind[a : a + 2000], 30, seen) for a in (0, 2000, 4000)] == [[s % 30 for s in range(a, a + 2000)] for a in (0, 2000, 4000)]
+    assert len(played) == 30  # thirty schedules are in these seeds, whatever their number
+    assert faults.survivors(pd.Series([31, 31, 2]), pd.Series(["TornWrite", "Fail", "TornWrite"]), 30, {}) == [30, 30, 1]
