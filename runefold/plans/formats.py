@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import codecs
 from ..operators import fold
+from ..sources.tablefiles import TableFiles
 from .catalog import OPLOG
 from .registry import register
 
@@ -128,7 +129,7 @@ _RUNS = "r AS (SELECT o_orderkey % 4 AS run, 'key' || lpad(o_orderkey::VARCHAR,
 
 @register("sst_scan", f"WITH {_RUNS} SELECT run, k, op, v FROM r")
 def _scan(spark, sf_dir):
-    got = codecs.scan_tables(codecs.tables(_runs(spark, sf_dir)))
+    got = TableFiles(_runs(spark, sf_dir)).scan()
     return got.select("run", F.col("k").cast("string").alias("k"), "op", F.col("v").cast("string").alias("v"))
 
 
@@ -141,14 +142,7 @@ blocks AS (SELECT run, 0::INTEGER AS block, 0::BIGINT AS start, min(total) FILTE
 @register("sst_index", _BLOCKS + " SELECT run, block, first_key, start AS \"offset\", (reach - start)::BIGINT AS size FROM (SELECT b.run, b.block, b.start, min(k) AS first_key, max(s.total) AS reach FROM blocks b JOIN sized s ON s.run = b.run AND s.total > b.start AND (b.stop IS NULL OR s.total <= b.stop) GROUP BY b.run, b.block, b.start)")
 def _index(spark, sf_dir):
     """The sparse index of each table file, as its footer leads to it."""
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(r, i, e["first_key"].decode(), e["offset"], e["size"]) for r, c in zip(pdf["run"], pdf["content"]) for i, e in enumerate(codecs.Table(bytes(c)).index)]
-            yield pd.DataFrame(rows, columns=["run", "block", "first_key", "offset", "size"])
-
-    return codecs.tables(_runs(spark, sf_dir)).mapInPandas(run, "run long, block int, first_key string, offset long, size long")
+    return TableFiles(_runs(spark, sf_dir)).index().withColumn("first_key", F.col("first_key").cast("string"))
 
 
 _ASKED = [f"key{n:07d}" for n in range(0, 2000, 13)]
@@ -160,14 +154,14 @@ _ASKED = [f"key{n:07d}" for n in range(0, 2000, 13)]
 )
 def _point_reads(spark, sf_dir):
     """Markers that point reads find: each in the one run that has it, tombstones included."""
-    got = codecs.probe_tables(codecs.tables(_runs(spark, sf_dir)), _ASKED)
+    got = TableFiles(_runs(spark, sf_dir)).probe(_ASKED)
     return got.where("op is not null").select("run", "k", "op", F.col("v").cast("string").alias("v"))
 
 
 @register("sst_block_reads", f"WITH {_RUNS} SELECT run, count(*) AS present, true AS one_each, true AS few_for_absent FROM r WHERE k IN (SELECT 'key' || lpad(n::VARCHAR, 7, '0') FROM range(0, 2000, 13) t(n)) GROUP BY run")
 def _block_reads(spark, sf_dir):
     """Reads of blocks: one for each present key; for absent ones at most one in twenty, as the filter lets pass."""
-    got = codecs.probe_tables(codecs.tables(_runs(spark, sf_dir)), _ASKED)
+    got = TableFiles(_runs(spark, sf_dir)).probe(_ASKED)
     found = F.col("op").isNotNull()
     return got.groupBy("run").agg(
         F.count_if(found).alias("present"), F.bool_and(~found | (F.col("reads") == 1)).alias("one_each"),
@@ -274,18 +268,8 @@ def _manifest_decode(spark, sf_dir):
 @register("snapshot_files", f"WITH {_RUNS} SELECT run, count(*) AS entries, min(k) AS min_key, max(k) AS max_key FROM r GROUP BY run")
 def _snapshot(spark, sf_dir):
     """Table files packed into one checked blob a run, unpacked and opened again."""
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for number, content in zip(pdf["run"], pdf["content"]):
-                files = codecs.unpack_files(codecs.pack_files({int(number): bytes(content)}))
-                keys = [k.decode() for _, k, _ in codecs.Table(files[int(number)]).entries()]
-                rows.append((number, len(keys), keys[0], keys[-1]))
-            yield pd.DataFrame(rows, columns=["run", "entries", "min_key", "max_key"])
-
-    return codecs.tables(_runs(spark, sf_dir)).mapInPandas(run, "run long, entries long, min_key string, max_key string")
+    tables = TableFiles(_runs(spark, sf_dir))
+    return tables.unpacked(tables.packed()).groupBy("run").agg(F.sum("n").alias("entries"), F.min("first").cast("string").alias("min_key"), F.max("last").cast("string").alias("max_key"))
 
 
 _CMD = f"{_OP} || {text('k')} || {text('v')}"

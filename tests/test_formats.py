@@ -101,3 +101,44 @@ def test_messages_and_commands():
     command = codecs.encode_command("put", b"k", b"v")
     assert command.hex() == "01" + "01000000" + "6b" + "01000000" + "76" and codecs.decode_command(command) == ("put", b"k", b"v")
     assert fails(codecs.decode_command, command + b"!") == "TrailingBytes" and fails(codecs.decode_command, b"\x09" + command[1:]) == "UnknownOp"
+
+
+def test_table_files_in_pieces_are_the_files(spark):
+    """Many small parts, blocks across several parts, filters in pieces; equal keys of a run stay together."""
+    from runefold.sources.tablefiles import TableFiles
+
+    rng = random.Random(3)
+    rows = [(i % 3, f"k{i:05}" + "y" * rng.randrange(9), "delete" if i % 5 == 0 else "put", None if i % 5 == 0 else "x" * rng.randrange(90)) for i in range(4000)]
+    rows += [(5, "only", "put", "v"), (6, "u", "put", "z" * 9000), (6, "v", "delete", None)]
+    runs = spark.createDataFrame(rows, "run int, k string, op string, v string")
+    want = {r: codecs.write_table([(op, k.encode(), None if v is None else v.encode()) for n, k, op, v in sorted(rows, key=lambda x: x[1]) if n == r]) for r in (0, 1, 2, 5, 6)}
+    tables = TableFiles(runs, part=60, chunk=5)
+    pieces = sorted((r["run"], r["kind"], r["number"], bytes(r["raw"])) for r in tables.files().collect())
+    assert {r: b"".join(raw for n, *_, raw in pieces if n == r) for r in want} == want
+    assert max(len(raw) for *_, raw in pieces) < 20_000 and len(pieces) > 60
+    blobs = {r["run"]: r["crc"] for r in tables.packed().collect()}
+    assert blobs == {r: int.from_bytes(codecs.pack_files({r: raw})[:4], "little") for r, raw in want.items()}
+    index = sorted((r["run"], r["block"], bytes(r["first_key"]), r["offset"], r["size"]) for r in tables.index().collect())
+    assert index == [(r, i, e["first_key"], e["offset"], e["size"]) for r, raw in want.items() for i, e in enumerate(codecs.Table(raw).index)]
+    asked = ["a", "only", "u", "v", "zz"] + [k for _, k, *_ in rows[::41]]
+    got = {(r["run"], r["k"]): (r["op"] and (r["op"], r["v"] and bytes(r["v"])), r["reads"]) for r in tables.probe(asked).collect()}
+    for r, raw in want.items():
+        table = codecs.Table(raw)
+        for k in asked:
+            table.reads = 0
+            assert got[r, k] == (table.get(k.encode()), table.reads)
+    twice = TableFiles(spark.createDataFrame([(1, "a", "put", str(i)) for i in range(900)] + [(1, "b", "put", "x")], "run int, k string, op string, v string"), part=100)
+    assert [(r["block"], bytes(r["first_key"])) for r in twice.index().orderBy("block").collect()] == [(0, b"a"), (1, b"b")] and twice.scan().count() == 901
+
+
+def test_an_index_is_read_in_time_with_its_size():
+    import time
+
+    def seconds(n):
+        raw = codecs.write_table([("put", f"k{i:07}".encode(), b"x" * 4100) for i in range(n)], 1)
+        began = time.process_time()
+        assert len(codecs.Table(raw).index) == n
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(8000) < 40 * max(seconds(1000), 0.004)
