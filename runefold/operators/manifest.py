@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def live_files(edits: DataFrame) -> DataFrame:
@@ -19,16 +20,37 @@ def orphans(present: DataFrame, live: DataFrame) -> DataFrame:
     return present.join(live, "number", "left_anti")
 
 
-def cells(files: DataFrame, ranges: int = 128) -> DataFrame:
+def cells(files: DataFrame, size: int = 500) -> DataFrame:
     """``files`` with ``cell``, a row for each of the key ranges that a file's range touches, and the ``first`` of them: files that meet share one.
 
-    The key space is cut at about ``ranges`` of the files' own least keys, which are the only thing the driver sees.
-    Any ordered key type will do.
+    The key space is cut at every ``size``-th of the files' least keys, so a cell holds no more of them as tables grow (but for
+    equal keys); the driver sees these cuts only. Any ordered key type will do.
     """
-    cuts = sorted({r[0] for r in files.select("min_key").where("min_key is not null").repartitionByRange(ranges, "min_key").groupBy(F.spark_partition_id()).agg(F.min("min_key")).select("min(min_key)").collect()})
-    bounds = F.array(*[F.lit(c) for c in cuts])
-    place = lambda c: F.size(F.filter(bounds, lambda b: b <= F.col(c)))
-    return files.withColumns({"first": place("min_key"), "last": place("max_key")}).withColumn("cell", F.explode(F.sequence("first", "last"))).drop("last")
+    import numpy as np
+    import pyarrow as pa
+
+    def every(batches):
+        seen = 0
+        for batch in batches:
+            yield batch.take(pa.array(range(-seen % size, batch.num_rows, size), pa.int64()))
+            seen += batch.num_rows
+
+    keys = files.select("min_key").where("min_key is not null")
+    cut = keys.repartitionByRange(1 + keys.count() // 250_000, "min_key").sortWithinPartitions("min_key").mapInArrow(every, keys.schema)
+    cuts = np.array(sorted({r[0] for r in cut.collect()}), object)
+
+    def placed(batches):
+        for batch in batches:
+            for name, key in (("first", "min_key"), ("last", "max_key")):
+                column = batch.column(key).to_pylist()
+                at = np.zeros(len(column), np.int32)
+                known = [i for i, k in enumerate(column) if k is not None]
+                at[known] = np.searchsorted(cuts, np.array([*(column[i] for i in known), None], object)[:-1], "right")
+                batch = batch.append_column(name, pa.array(at))
+            yield batch
+
+    schema = T.StructType([*files.schema.fields, T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+    return files.mapInArrow(placed, schema).withColumn("cell", F.explode(F.sequence("first", "last"))).drop("last")
 
 
 def _meet(lower: Column) -> Column:

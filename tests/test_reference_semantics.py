@@ -308,3 +308,12 @@ def test_each_fault_schedule_is_played_once_a_task(monkeypatch):
     assert [faults.survivors(target[a : a + 2000], kind[a : a + 2000], 30, seen) for a in (0, 2000, 4000)] == [[s % 30 for s in range(a, a + 2000)] for a in (0, 2000, 4000)]
     assert len(played) == 30  # thirty schedules are in these seeds, whatever their number
     assert faults.survivors(pd.Series([31, 31, 2]), pd.Series(["TornWrite", "Fail", "TornWrite"]), 30, {}) == [30, 30, 1]
+
+
+def test_cells_hold_no_more_files_as_tables_grow(spark):
+    for n in (2000, 20_000):
+        files = spark.range(n).selectExpr("id as number", "int(id % 4) as level", "lpad(string(id * 7919 % 100003), 8, '0') as min_key", "lpad(string(id * 7919 % 100003 + 9), 8, '0') as max_key")
+        assert manifest.cells(files, 50).groupBy("cell").count().agg(F.max("count")).first()[0] < 110
+        a, b = (files.selectExpr(f"number as n{x}", f"level as l{x}", f"min_key as lo{x}", f"max_key as hi{x}") for x in "ab")
+        want = a.join(b, F.expr("lb = la + 1 and loa <= hib and lob <= hia"))
+        assert n > 2000 or {r[:2] for r in want.select("na", "nb").collect()} == {r[:2] for r in manifest.overlaps(files).collect()}
