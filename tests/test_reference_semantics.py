@@ -317,3 +317,12 @@ def test_cells_hold_no_more_files_as_tables_grow(spark):
         a, b = (files.selectExpr(f"number as n{x}", f"level as l{x}", f"min_key as lo{x}", f"max_key as hi{x}") for x in "ab")
         want = a.join(b, F.expr("lb = la + 1 and loa <= hib and lob <= hia"))
         assert n > 2000 or {r[:2] for r in want.select("na", "nb").collect()} == {r[:2] for r in manifest.overlaps(files).collect()}
+
+
+def test_log_files_are_replayed_in_many_tasks_however_small(spark, tmp_path):
+    from runefold.plans import formats
+
+    spark.range(60_000).select(F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    found = formats._log_replay(spark, str(tmp_path))
+    assert found.withColumn("task", F.spark_partition_id()).agg(F.count_distinct("task")).first()[0] > 8
+    assert [tuple(r) for r in found.orderBy("log").limit(4).collect()] == [(0, 100, None), (1, 99, None), (2, 0, None), (3, None, "OutOfSequence")]
