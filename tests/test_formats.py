@@ -142,3 +142,18 @@ def test_an_index_is_read_in_time_with_its_size():
 
     seconds(100)
     assert seconds(8000) < 40 * max(seconds(1000), 0.004)
+
+
+def test_few_ranges_are_summed_a_byte_at_a_time(monkeypatch):
+    from runefold.functions import checksum
+
+    rows = [random.Random(n).randbytes(300 + n) for n in range(120)]
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    ends = np.cumsum([len(r) for r in rows])
+    starts = ends - [len(r) for r in rows]
+    want = [crc32c(r) for r in rows]
+    steps = []
+    monkeypatch.setattr(checksum, "_advance", lambda *a, advance=checksum._advance: steps.append(1) or advance(*a))
+    assert [crc32c_ranges(data, starts[n : n + 3], ends[n : n + 3]).tolist() for n in range(0, 120, 3)] == [want[n : n + 3] for n in range(0, 120, 3)] and not steps
+    assert crc32c_ranges(data, starts, ends).tolist() == want and steps
+    assert crc32c_ranges(data, starts[:0], ends[:0]).tolist() == []
