@@ -326,3 +326,12 @@ def test_log_files_are_replayed_in_many_tasks_however_small(spark, tmp_path):
     found = formats._log_replay(spark, str(tmp_path))
     assert found.withColumn("task", F.spark_partition_id()).agg(F.count_distinct("task")).first()[0] > 8
     assert [tuple(r) for r in found.orderBy("log").limit(4).collect()] == [(0, 100, None), (1, 99, None), (2, 0, None), (3, None, "OutOfSequence")]
+
+
+def test_log_files_of_a_task_do_not_grow_with_the_log(spark, monkeypatch):
+    monkeypatch.setattr(codecs, "PART", 40)
+    for n in (400, 4000):
+        log = spark.range(n).selectExpr("id as seq", "'put' as op", "concat('k', id) as k", "'v' as v")
+        logs = codecs.segments(log, 4)
+        assert logs.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 40
+        assert [r["k"] for r in codecs.recover(logs).select(F.expr("int(substr(path, 4))").alias("s"), "n", F.col("k").cast("string")).orderBy("s", "n").collect()] == [f"k{i}" for i in range(n)]
