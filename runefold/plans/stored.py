@@ -108,20 +108,22 @@ def _stream(spark, sf_dir):
 @register("stream_state", OPLOG + "SELECT k, seq, op, v FROM newest")
 def _state(spark, sf_dir):
     """The same by a stateful operator: a key's newest operation is its state, and each change of it is an output row."""
-    import pandas as pd
+    from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
 
     class Newest(StatefulProcessor):
+        """Takes and gives rows: a data frame for each key, in and out, costs more than its operations."""
+
         def init(self, handle):
             self.state = handle.getValueState("newest", "seq long, op string, v string")
 
         def handleInputRows(self, key, rows, timer):
-            batch = pd.concat(list(rows))
-            top = batch.loc[batch["seq"].idxmax()]
-            if not self.state.exists() or self.state.get()[0] < top["seq"]:
-                value = (int(top["seq"]), str(top["op"]), None if pd.isna(top["v"]) else str(top["v"]))
+            top = max(rows, key=lambda r: r["seq"])
+            held = self.state.get()
+            if held is None or held[0] < top["seq"]:
+                value = (top["seq"], top["op"], top["v"])
                 self.state.update(value)
-                yield pd.DataFrame([(key[0], *value)], columns=["k", "seq", "op", "v"])
+                yield Row(k=key[0], seq=value[0], op=value[1], v=value[2])
 
         def close(self):
             pass
@@ -132,7 +134,7 @@ def _state(spark, sf_dir):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        changes = log.groupBy("k").transformWithStateInPandas(Newest(), "k string, seq long, op string, v string", "append", "none")
+        changes = log.groupBy("k").transformWithState(Newest(), "k string, seq long, op string, v string", "append", "none")
         changes.writeStream.option("checkpointLocation", place(spark, "checkpoint")).trigger(availableNow=True).start(path=out, format="parquet", outputMode="append").awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

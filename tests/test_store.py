@@ -144,3 +144,18 @@ def test_a_batch_that_comes_again_changes_nothing(spark, store, tmp_path):
     for again in range(2):  # a lost checkpoint brings the same batch again
         apply_stream(spark.readStream.schema(LOG).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/c{again}")
     assert len(store.files()) == 1 and view(store) == {"a": "1", "b": "2"}
+
+
+def test_stream_state_takes_rows_not_a_frame_for_each_key(spark, tmp_path, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    from runefold.plans import stored
+
+    def refuse(*a, **k):
+        raise AssertionError("a data frame for each key")
+
+    monkeypatch.setattr(GroupedData, "transformWithStateInPandas", refuse)
+    spark.range(60).selectExpr("id as event_id", "id % 7 as user_id", "if(id % 5 = 4, 'error', 'view') as event_type").write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in stored._state(spark, str(tmp_path)).collect()}
+    last = {i % 7: i for i in range(60)}
+    assert got == {(f"u{u}", i, "delete" if i % 5 == 4 else "put", None if i % 5 == 4 else f"v{i}") for u, i in last.items()}
