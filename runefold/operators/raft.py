@@ -100,19 +100,25 @@ def two_leaders(leaders: DataFrame) -> DataFrame:
     return leaders.groupBy("term").agg(F.count_distinct("node").alias("leaders")).where("leaders > 1")
 
 
-def log_matching(logs: DataFrame, block: int = 4096) -> DataFrame:
+#: Entries that a task of ``log_matching`` holds, about.
+TASK = 500_000
+
+
+def log_matching(logs: DataFrame, block: int = 4096, entries: int | None = None) -> DataFrame:
     """Indexes and terms that two logs share although an earlier entry differs: must be empty.
 
     Each entry carries the sum of the hashes up to it; equal (idx, term) must have one sum. Sums of blocks of indexes come
-    first, so no window holds more than a block, or a row a block.
+    first, so no window holds more than a block, or a row a block. The blocks are dealt once over tasks, as many as there are
+    entries for (``entries``, about; they are counted if it is not given), and all nodes' entries of a block meet in one.
     """
-    steps = logs.select("node", "idx", "term", F.xxhash64("idx", "term").cast("decimal(38,0)").alias("h"), F.expr(f"idx div {block}").alias("b"))
+    parts = max(logs.sparkSession.sparkContext.defaultParallelism, (logs.count() if entries is None else entries) // TASK + 1)
+    steps = logs.select("node", "idx", "term", F.xxhash64("idx", "term").cast("decimal(38,0)").alias("h"), F.expr(f"idx div {block}").alias("b")).repartition(parts, "b")
     sums = steps.groupBy("node", "b").agg(F.sum("h").alias("whole"))
     before = F.sum("whole").over(Window.partitionBy("node").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("node", "b", F.coalesce(before, F.lit(0).cast("decimal(38,0)")).alias("before"))
+    sums = F.broadcast(sums.select("node", "b", F.coalesce(before, F.lit(0).cast("decimal(38,0)")).alias("before")))  # a row a block and node
     within = F.sum("h").over(Window.partitionBy("node", "b").orderBy("idx"))
     steps = steps.withColumn("within", within).join(sums, ["node", "b"]).withColumn("prefix", F.col("before") + F.col("within"))
-    return steps.groupBy("idx", "term").agg(F.count_distinct("prefix").alias("prefixes")).where("prefixes > 1")
+    return steps.groupBy("b", "idx", "term").agg(F.count_distinct("prefix").alias("prefixes")).where("prefixes > 1").drop("b")
 
 
 def up_to_date(term: str, idx: str, own_term: str, own_idx: str) -> Column:

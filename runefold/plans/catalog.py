@@ -212,7 +212,7 @@ register("raft_invariant_leader_per_term", _BALLOTS + " SELECT term, count(*) AS
     lambda spark, sf_dir: raft.two_leaders(raft.votes(_ballots(spark, sf_dir), 7).where("elected").select("term", F.col("candidate").alias("node")))
 )
 register("raft_invariant_log_matching", RAFT + ", r AS (SELECT idx, term, sum(hash(idx * 1000003 + term)) OVER (PARTITION BY node ORDER BY idx) AS h FROM merged) SELECT idx, term, count(DISTINCT h) AS prefixes FROM r GROUP BY ALL HAVING count(DISTINCT h) > 1")(
-    lambda spark, sf_dir: raft.log_matching(raft.merged(schema.leader_log(spark, sf_dir), schema.follower_logs(spark, sf_dir)))
+    lambda spark, sf_dir: raft.log_matching(raft.merged(*_logs(spark, sf_dir)), entries=6 * schema.leader_log(spark, sf_dir).count())
 )
 register("raft_proposal_outcome", RAFT + "SELECT l.idx, CASE WHEN l.idx > n - 400 THEN 'ErrProposeTimeout' WHEN l.idx >= 500 AND f.term = l.term THEN 'ok' ELSE 'ErrProposalLost' END AS outcome FROM leader l JOIN total ON true LEFT JOIN followers f ON f.idx = l.idx AND f.node = 2")(
     lambda spark, sf_dir: _outcomes(spark, sf_dir)

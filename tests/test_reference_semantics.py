@@ -335,3 +335,11 @@ def test_log_files_of_a_task_do_not_grow_with_the_log(spark, monkeypatch):
         logs = codecs.segments(log, 4)
         assert logs.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 40
         assert [r["k"] for r in codecs.recover(logs).select(F.expr("int(substr(path, 4))").alias("s"), "n", F.col("k").cast("string")).orderBy("s", "n").collect()] == [f"k{i}" for i in range(n)]
+
+
+def test_log_matching_deals_blocks_over_as_many_tasks_as_entries_need(spark, monkeypatch):
+    monkeypatch.setattr(raft, "TASK", 100, raising=False)
+    logs = spark.range(4000).selectExpr("int(id % 2 + 1) as node", "id div 2 + 1 as idx", "if(id in (90, 2400), 9L, 1L) as term")
+    found = raft.log_matching(logs, block=4)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(", 41") >= 2  # tasks of the one shuffle, read twice
+    assert {r[:] for r in found.collect()} == {(i, 1, 2) for i in range(47, 2001) if i != 1201}
